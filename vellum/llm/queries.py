@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontamination, packing, quality, sharding, simhash, substrings, topk, toxicity
+from vellum.llm import chat, decontamination, packing, pii, quality, sharding, simhash, substrings, topk, toxicity
 from vellum.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_exact_topk, op4_toxicity, op5_substring_dedup, op7_decontamination, op8_chat_formatting, op9_simhash_near_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_exact_topk, op4_toxicity, op5_substring_dedup, op6_personal_data, op7_decontamination, op8_chat_formatting, op9_simhash_near_dedup, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_topk": """
         WITH v AS (
