@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,44 +29,93 @@ from vellum.llm.common import materialise
 CAPACITY = 2048
 SEPARATOR_ID = 0
 #: Entries of one generation of a worker's word cache; two generations are kept, about 200 bytes an entry.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 300_000
 #: Pieces of one rank bucket, about.
 BUCKET_ROWS = 50_000
 
-#: str.split() also cuts at these, the tokenizer's white space does not hold them.
-_ODD = re.compile("[\x1c-\x1f]")
+#: str.split() cuts at the first ones, which are not white space to the tokenizer; special tokens hold the last.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: A sign after a letter that stays one letter in every normal form.
+_SIGN = re.compile(r"[.,;:!?|%$&*#](?<=[a-zA-Z\xe0-\xf6\xf8-\xff].)")
+
+_PLAIN = re.compile(r"[a-zA-Z\xe0-\xf6\xf8-\xff]+")
+
+
+def _odd(text: str) -> bool:
+    return any(x in text for x in _ODD)
+
+
+def _folded(text: str) -> str:
+    """Lower-cased, if all of it is Latin-1, where that is one letter for one whatever stands beside it."""
+    try:
+        return text.lower() if text.isascii() or text.encode("latin-1") else text
+    except UnicodeEncodeError:
+        return text
 
 
 class WordCache:
     """Ids of white-space separated words, as little-endian 32-bit bytes, in two bounded generations.
 
-    The tokenizer drops white space before it merges, so a text's ids are those of its words in order.
+    The tokenizer drops white space before it merges, so a text's ids are those of its words in order. It also
+    cuts between a letter and a sign after it, and ignores case; so white space put there and lower-cased
+    Latin-1 change no id, and leave far fewer distinct words.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, found: list[str]) -> list[bytes]:
+        """Words of plain letters go through the tokenizer together; its marks of word ends tell their ids apart."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in found if _PLAIN.fullmatch(w)]
+        for lo in range(0, len(plain), 1000):
+            part = plain[lo : lo + 1000]
+            ids = np.asarray(self.fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, cuts = ids.tobytes(), (ends * 4).tolist()
+                out.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        rest = [w for w in found if w not in out]
+        out.update(zip(rest, self.encode(rest), strict=True))
+        return [out[w] for w in found]
+
+    def _load(self, missing: list[str]) -> None:
+        """Make the young generation hold ``missing`` (distinct), which it doesn't yet."""
+        if len(self.young) + len(missing) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        old = self.old
+        new = [k for k in missing if k not in old]
+        if len(new) < len(missing):
+            self.young.update((k, old[k]) for k in missing if k in old)
+        self.young.update(zip(new, self.encode_words(new), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) else t.split() for t in texts]
         out = []
         for lo in range(0, len(texts), 256):  # a bounded number of new words at a time
-            part = split[lo : lo + 256]
-            missing = list(dict.fromkeys(w for ws in part if ws is not None for w in ws if w not in self.young))
-            if len(self.young) + len(missing) > CACHE_WORDS:
-                self.old, self.young = self.young, {}
-                missing = list(dict.fromkeys(w for ws in part if ws is not None for w in ws))
-            new = [w for w in missing if w not in self.old]
-            self.young.update((w, self.old[w]) for w in missing if w in self.old)
-            self.young.update(zip(new, self._encode(new), strict=True))
-            for text, ws in zip(texts[lo : lo + 256], part, strict=True):
-                out.append(self._encode([text])[0] if ws is None else b"".join(map(self.young.__getitem__, ws)))
+            part = texts[lo : lo + 256]
+            split = [[] if _odd(t) else _SIGN.sub(r" \g<0>", _folded(t)).split() for t in part]
+            flat = list(chain.from_iterable(split))
+            found = list(map(self.young.get, flat))
+            holes = [i for i, x in enumerate(found) if x is None]
+            if holes:
+                self._load(list(dict.fromkeys(map(flat.__getitem__, holes))))
+                get = self.young.__getitem__
+                for i in holes:
+                    found[i] = get(flat[i])
+            at = 0
+            for t, ws in zip(part, split, strict=True):
+                out.append(b"".join(found[at : at + len(ws)]) if ws or not _odd(t) else self.encode([t])[0])
+                at += len(ws)
         return out
 
 
@@ -96,7 +146,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids
                 part = batch.slice(lo, 512)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 out = defaultdict(list)
-                for doc_id, raw in zip(part.column("doc_id").to_pylist(), cache.ids(texts) if white_space_splits else cache._encode(texts), strict=True):
+                for doc_id, raw in zip(part.column("doc_id").to_pylist(), cache.ids(texts) if white_space_splits else cache.encode(texts), strict=True):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         piece = raw[at : at + 4 * capacity]
