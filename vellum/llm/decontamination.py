@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import materialise
+
 #: Positions that count ("1") in each mask.
 MASKS = ("11011", "110011", "1010101")
 MIN_TOKENS = 8
@@ -79,6 +81,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a verified overlap; rows with a null id, which no overlap can name, are matched by null too."""
-    found = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """``docs`` without the documents that hold a verified overlap. Texts are told apart by hash, so null and repeated ids do no harm."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = materialise(overlaps(texts, benchmark, **options).select(F.col("doc_id").alias("_hash")).distinct(), "leaks")
+    side = F.broadcast(found) if found.count() <= BROADCAST_SEEDS else found
+    return docs.join(side, F.xxhash64(docs["text"]) == F.col("_hash"), "left_anti")

@@ -34,6 +34,8 @@ SHINGLE_WORDS = 3
 BITS = 3
 #: Fingerprints of one key that are compared in one task; larger keys are dealt again.
 LARGEST = 8192
+#: Keys up to which a list of rows to drop is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -67,17 +69,20 @@ def text_fingerprint(raw: bytes, shingle_words: int) -> int:
     return fingerprint(np.asarray(hashes, np.uint64))
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) of whole texts; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, text_hash: bool = False) -> DataFrame:
+    """(doc_id, fp) of whole texts, and text_hash if asked for; fp is the fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             raw = data.tobytes()
             fps = [text_fingerprint(raw[a:b], shingle_words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.asarray(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            kept = [batch.column("doc_id"), *[batch.column("text_hash")] * text_hash]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.asarray(fps, np.uint64).view(np.int64))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    names = ["doc_id", *["text_hash"] * text_hash, "fp"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.xxhash64("text").alias("text_hash")] * text_hash)
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def blocks_of(positions: list[int], n: int) -> list[list[int]]:
@@ -184,16 +189,18 @@ def links(nodes: DataFrame, bits: int = BITS, largest: int = LARGEST) -> DataFra
         dealt = over.select(F.col("u").alias("fp"), F.explode(finer[F.col("mask")]).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct()
 
 
-def classes(marked: DataFrame, bits: int = BITS, largest: int = LARGEST) -> DataFrame:
+def classes(marked: DataFrame, bits: int = BITS, largest: int = LARGEST, node_class: str | None = None) -> DataFrame:
     """Adds ``component_id``, the smallest doc_id that a document reaches over links, to (doc_id, fp, ...).
 
+    With ``node_class`` a column of that name tells the class itself, by a fingerprint of it, which null ids don't blur.
+
     ``marked`` is read more than once, so give a stored table.
     """
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("_least"))
     roots = materialise(connected_components(links(nodes.select("fp"), bits, largest)), "roots")
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("_least").alias("component_id"))
-    moved = joined.join(least, "root").select("fp", "component_id")
+    moved = joined.join(least, "root").select("fp", "component_id", *[F.col("root").alias(node_class)] * bool(node_class))
     return marked.join(moved, "fp", "left")
 
 
@@ -202,3 +209,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: i
     marked = materialise(fingerprints(docs, shingle_words), "fingerprints")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return classes(marked, bits).select("doc_id", hexed, "component_id")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: int = BITS) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one row of each class: that of the smallest doc_id, nulls last, then of the smallest text hash."""
+    key = (F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
+    marked = materialise(fingerprints(docs, shingle_words, text_hash=True), "fingerprints")
+    told = classes(marked, bits, node_class="class").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "class")
+    order = F.struct(F.col("_id").isNull(), "_id", "_hash")
+    first = told.groupBy("class").agg(F.min(order).alias("f"))
+    gone = materialise(told.join(first, "class").where(order != F.col("f")).select("_id", "_hash").distinct(), "gone")
+    out = docs.withColumns({"_key_id": key[0], "_key_hash": key[1]})
+
+    def by_key(side: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        on = left["_key_id"].eqNullSafe(side["_id"]) & (left["_key_hash"] == side["_hash"])
+        return left.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
+
+    out = by_key(gone, "left_anti", out)
+    again = materialise(marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("n")).where("n > 1").select("_id", "_hash"), "again")
+    if again.count():  # rows that agree in id and text, of which one stays
+        out = by_key(again, "left_anti", out).union(by_key(again, "left_semi", out).dropDuplicates(["_key_id", "_key_hash"]))
+    return out.select(*docs.columns)
