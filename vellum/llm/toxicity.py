@@ -30,6 +30,8 @@ MAX_CHARS = 20_000
 THRESHOLD = 0.3
 SMOOTHING = 1.0
 ALPHA = 0.5
+#: Standard deviations of a log-count ratio from which it counts.
+NOISE = 3.0
 
 _MUL = np.uint32(0x9E3779B1)
 
@@ -78,7 +80,7 @@ class Model:
 
 
 def fit(sample: list[tuple[str, int]], sizes: tuple[int, ...] = SIZES, bucket_bits: int = BUCKET_BITS, epochs: int = 12, rate: float = 0.4, l2: float = 1e-6) -> Model:
-    """Log-count ratios, then logistic regression on them by AdaGrad, in a fixed order. Classes weigh alike."""
+    """Log-count ratios, then logistic regression on them by AdaGrad, in a fixed order. The rarer class weighs more, by the root of what would make them even."""
     y = np.asarray([t for _, t in sample], np.float64)
     size = 1 << bucket_bits
     if not len(y) or y.min() == y.max():
@@ -91,12 +93,12 @@ def fit(sample: list[tuple[str, int]], sizes: tuple[int, ...] = SIZES, bucket_bi
     docs = [np.sum(y == 0), np.sum(y == 1)]
     ratio = (np.log(counts[1] / docs[1]) - np.log(counts[0] / docs[0])).astype(np.float32)
     ratio[(counts[0] + counts[1]) < 3 + 2 * ALPHA] = 0  # an n-gram of a document or two is no evidence
-    # an n-gram is informative by what it tells beside its noise; the rest only adds up over long texts
-    ratio[np.abs(ratio) < 0.5] = 0
+    # a ratio within its sampling noise tells nothing, and over a long text adds up to much of it
+    ratio[np.abs(ratio) < NOISE * np.sqrt(1 / counts[0] + 1 / counts[1])] = 0
     rows = [r[ratio[r] != 0] for r in rows]
     w, b = np.zeros(size, np.float32), 0.0
     past, past_b = np.full(size, 1.0, np.float32), 1.0
-    weigh = {t: len(y) / (2 * max(1, n)) for t, n in enumerate(docs)}
+    weigh = {t: np.sqrt(len(y) / (2 * n)) for t, n in enumerate(docs)}
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
