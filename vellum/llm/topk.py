@@ -31,7 +31,9 @@ K = 5
 QUERY_EVERY = 50
 WAVE = 4096
 #: Candidates by queries that are bounded at a time.
-TILE = 1 << 21
+TILE = 1 << 20
+#: Share of pairs left under which they are bounded one by one, not by a matrix product.
+DENSE = 0.02
 #: Above this magnitude float64 products are not exact; such vectors are multiplied as Python integers.
 _EXACT = float(1 << 23)
 
@@ -44,9 +46,9 @@ def usable(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") ->
 
 
 def cuts(dim: int) -> list[np.ndarray]:
-    """Segment starts, coarse to fine: 1, 2, 4, ... segments of four dimensions at least."""
+    """Segment starts, coarse to fine: 1, 2, 4, ... segments of two dimensions at least."""
     out, n = [], 1
-    while n == 1 or dim // n >= 4:
+    while n == 1 or dim // n >= 2:
         out.append(np.unique(np.arange(n) * dim // n))
         n *= 2
     return out
@@ -58,23 +60,30 @@ class Statistics:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
         self.norm = (x * x).sum(1)
-        self.levels = []
+        self.levels, self.rests = [], []
         for starts in cuts(x.shape[1]):
             width = np.diff(np.append(starts, x.shape[1])).astype(np.float64)
             mean = np.add.reduceat(x, starts, axis=1) / width
             spread = np.sqrt(np.maximum(np.add.reduceat(x * x, starts, axis=1) / width - mean * mean, 0))
             root = np.sqrt(width)
-            self.levels.append(np.concatenate([mean * root, spread * root], axis=1))  # their squared distance is the bound
+            level = np.concatenate([mean * root, spread * root], axis=1)
+            self.levels.append(level)  # the squared distance of two is the bound
+            self.rests.append((self.norm - (level * level).sum(1)) / 2 + 1e-9 * self.norm + 1e-6)  # what a product of two lacks to the upper bound, and rounding
 
     def take(self, lo: int, hi: int) -> Statistics:
         out = object.__new__(Statistics)
-        out.ids, out.x, out.norm, out.levels = self.ids[lo:hi], self.x[lo:hi], self.norm[lo:hi], [m[lo:hi] for m in self.levels]
+        out.ids, out.x, out.norm, out.levels, out.rests = self.ids[lo:hi], self.x[lo:hi], self.norm[lo:hi], [m[lo:hi] for m in self.levels], [m[lo:hi] for m in self.rests]
         return out
 
 
+def float_exact(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether sums of products are integers below 2 ** 53 in any order."""
+    return max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) * np.sqrt(a.shape[1]) < _EXACT
+
+
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise integer products as int64."""
-    if max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) * np.sqrt(a.shape[1]) < _EXACT:
+    if float_exact(a, b):
         return (a * b).sum(1).astype(np.int64)
     top = (1 << 63) - 1
     return np.asarray([min(top, max(-top - 1, sum(int(x) * int(y) for x, y in zip(p, q, strict=True)))) for p, q in zip(a, b, strict=True)], np.int64)
@@ -91,27 +100,33 @@ def search(queries: Statistics, block: Statistics, floor: np.ndarray, k: int, co
     for lo in range(0, len(queries.ids), step):
         q = queries.take(lo, lo + step)
         least = floor[lo : lo + step]
-        pair_q = pair_c = None
+        mask = pair_q = pair_c = None
         for level, (a, b) in enumerate(zip(q.levels, block.levels, strict=True)):
+            rest_q, rest_b = q.rests[level], block.rests[level]
             if pair_q is None:
-                # ends of the bound: (|q|^2 + |x|^2 - d2) / 2, and d2 of the level's vectors is |a|^2 + |b|^2 - 2 a.b
                 upper = a @ b.T
-                upper += ((q.norm - (a * a).sum(1))[:, None] + (block.norm - (b * b).sum(1))[None, :]) / 2
-                slack = 1e-9 * (q.norm[:, None] + block.norm[None, :]) + 1e-6
-                pair_q, pair_c = np.nonzero((upper + slack >= least[:, None]) & (q.ids[:, None] != block.ids[None, :]))
+                upper += rest_b
+                near = upper >= (least - rest_q)[:, None]
+                mask = near if mask is None else mask & near
+                if np.count_nonzero(mask) < DENSE * mask.size:
+                    pair_q, pair_c = np.nonzero(mask)
             else:
                 keep = np.zeros(len(pair_q), bool)
                 for s in range(0, len(pair_q), 1 << 16):
-                    e = slice(s, s + (1 << 16))
-                    d = a[pair_q[e]] - b[pair_c[e]]
-                    both = q.norm[pair_q[e]] + block.norm[pair_c[e]]
-                    keep[e] = (both - (d * d).sum(1)) / 2 + 1e-9 * both + 1e-6 >= least[pair_q[e]]
+                    i, j = pair_q[s : s + (1 << 16)], pair_c[s : s + (1 << 16)]
+                    keep[s : s + (1 << 16)] = np.einsum("ij,ij->i", a[i], b[j]) + rest_b[j] >= least[i] - rest_q[i]
                 pair_q, pair_c = pair_q[keep], pair_c[keep]
             if counts is not None:
-                counts[level] += len(pair_q)
-        scores = np.concatenate([exact(q.x[pair_q[s : s + (1 << 16)]], block.x[pair_c[s : s + (1 << 16)]]) for s in range(0, len(pair_q), 1 << 16)]) if len(pair_q) else np.zeros(0, np.int64)
+                counts[level] += np.count_nonzero(mask) if pair_q is None else len(pair_q)
         if counts is not None:
-            counts[-1] += len(pair_q)
+            counts[-1] += np.count_nonzero(mask) if pair_q is None else len(pair_q)
+        if pair_q is None:  # many survivors: their products as one matrix product, which is exact unless the integers are large
+            if float_exact(q.x, block.x):
+                mask &= q.x @ block.x.T >= least[:, None]
+            pair_q, pair_c = np.nonzero(mask)
+        other = q.ids[pair_q] != block.ids[pair_c]
+        pair_q, pair_c = pair_q[other], pair_c[other]
+        scores = np.concatenate([exact(q.x[pair_q[s : s + (1 << 16)]], block.x[pair_c[s : s + (1 << 16)]]) for s in range(0, len(pair_q), 1 << 16)]) if len(pair_q) else np.zeros(0, np.int64)
         order = np.lexsort((block.ids[pair_c], -scores.astype(np.float64), pair_q)) if len(scores) else np.zeros(0, np.int64)
         if len(scores) and np.abs(scores).max() >= 1 << 53:  # floats would tie
             order = np.asarray(sorted(range(len(scores)), key=lambda i: (pair_q[i], -int(scores[i]), block.ids[pair_c[i]])), np.int64)
