@@ -1,15 +1,16 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-Texts are lower-cased and cut into tokens at white space, with signs at both ends of a token taken off. A mask looks at some
+Texts are lower-cased, ASCII signs are taken out, and tokens are cut at white space. A mask looks at some
 positions of a window of tokens and ignores the others, so a window still matches when a token at an ignored position was
 substituted; several masks with different gaps leave few substitutions that hide a passage from all. The hashes of all masked windows
 of the training texts are joined with those of the test items, and each hit is verified on the item's alignment that the hit
 fixes: of the test item's tokens that fall into the text, at least ``MIN_TOKENS`` and the share ``MIN_SHARE`` must be equal at
 their places. Only verified overlaps count, so hash collisions and chance hits do no harm.
 
-The training side is never shuffled or sorted: windows are made, hashed, joined and verified in one narrow stage. The test
-side is broadcast if it has at most ``BROADCAST_SEEDS`` masked windows, which is counted first; beyond that the same join is
-left to a shuffle by hash.
+The training side is never shuffled or sorted: windows are made, hashed and joined in one narrow stage that carries
+nothing but ids, places and hashes. The test side is broadcast if it has at most ``BROADCAST_SEEDS`` masked windows, which is
+counted first; beyond that the same join is left to a shuffle by hash. The distinct alignments that the hits fix are few; they are
+stored, and meet the texts again for verification, broadcast likewise if their number allows it.
 
 Defined results: null and empty texts or items match nothing, and so do items shorter than the shortest masked window; repeated
 documents are one row of ids; repeated items count each by its id; null ids are kept as null; extra columns are ignored.
@@ -29,31 +30,30 @@ MIN_SHARE = 0.7
 BROADCAST_SEEDS = 2_000_000
 
 WHITE = r"[\x20\x09-\x0D]+"
-SIGNS = r"(^|(?<= ))[\p{Punct}]+|[\p{Punct}]+(?= |$)"
+SIGNS = r"\p{Punct}+"
 
 
 def tokens(text: Column) -> Column:
     """Array of normalised tokens; empty for null."""
-    line = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), WHITE, " "), SIGNS, "")
-    return F.filter(F.split(line, " "), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SIGNS, ""), WHITE), lambda w: w != "")
 
 
-def seeds(df: DataFrame, keep: list[str], masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """A row (keep..., at, seed) for each masked window of the array ``toks``; ``at`` is the window's first token.
+def seeds(df: DataFrame, key: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    """A row (key, at, seed) for each masked window of the array ``toks``; ``at`` is the window's first token.
 
     The window comes from the zipped array and its slices and is hashed in generated code; a window that runs over the end of the
     tokens has null at a looked-at position and is left out.
     """
     span = max(map(len, masks))
-    shifted = F.arrays_zip(*[(F.col("toks") if i == 0 else F.slice("toks", i + 1, F.greatest(F.size("toks"), F.lit(1)))).alias(f"w{i}") for i in range(span)])
-    windows = df.select(*keep, "toks", F.posexplode(shifted).alias("at", "w"))
     names = [f"w{i}" for i in range(span)]
+    shifted = F.arrays_zip(*[(F.col("toks") if i == 0 else F.slice("toks", i + 1, F.greatest(F.size("toks"), F.lit(1)))).alias(n) for i, n in enumerate(names)])
+    windows = df.select(key, F.posexplode(shifted).alias("at", "w"))
 
     def seed(m: int, mask: str) -> Column:
         used = [F.col("w")[names[i]] for i, c in enumerate(mask) if c == "1"]
         return F.when(used[-1].isNotNull(), F.xxhash64(F.lit(m), *used))
 
-    return windows.select(*keep, "toks", "at", F.explode(F.array(*[seed(m, mask) for m, mask in enumerate(masks)])).alias("seed")).where(F.col("seed").isNotNull())
+    return windows.select(key, "at", F.explode(F.array(*[seed(m, mask) for m, mask in enumerate(masks)])).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_tokens: int = MIN_TOKENS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -61,21 +61,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
     ``doc_start`` is the token of the document that the item's first token stands at, negative if the text starts within the item.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
-    found = seeds(items, ["item_id"], masks).select("item_id", F.col("at").alias("item_at"), F.col("toks").alias("item"), "seed").distinct()
-    n = found.count()
-    side = F.broadcast(found) if n <= BROADCAST_SEEDS else found
-    own = seeds(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("toks")), ["doc_id"], masks)
-    start = F.col("at") - F.col("item_at")
-    hits = own.join(side, "seed").withColumn("doc_start", start)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("toks")).where(F.size("toks") >= min_tokens)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("toks"))
+    found = materialise(seeds(items, "item_id", masks).select("item_id", F.col("at").alias("item_at"), "seed").distinct(), "seeds")
+    side = F.broadcast(found) if found.count() <= BROADCAST_SEEDS else found
+    hits = seeds(texts, "doc_id", masks).join(side, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("doc_start"))
+    hits = materialise(hits.distinct(), "hits")
+
+    few = hits.count() <= BROADCAST_SEEDS
+    asked = hits.join(items.withColumnRenamed("toks", "item"), hits["item_id"].eqNullSafe(items["item_id"])).select(hits["doc_id"].alias("_id"), hits["item_id"], "doc_start", "item")
+    checked = texts.join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("_id")))
     part = F.slice("toks", F.greatest(F.col("doc_start") + 1, F.lit(1)), F.size("item"))  # the document's side
-    hits = hits.select("doc_id", "item_id", "doc_start", "item", part.alias("part"))
     # the item's tokens before the text's start stand beside nothing
     other = F.slice("item", F.greatest(1 - F.col("doc_start"), F.lit(1)), F.size("item"))
-    same = F.zip_with("part", other, lambda a, b: F.when(a == b, 1).otherwise(0))
-    hits = hits.withColumn("n_equal", F.aggregate(same, F.lit(0), lambda a, b: a + b).cast("long"))
-    hits = hits.withColumn("n_tokens", F.size("item").cast("long"))
-    good = hits.where((F.col("n_equal") >= min_tokens) & (F.col("n_equal") >= min_share * F.col("n_tokens")))
+    same = F.zip_with(part, other, lambda a, b: F.when(a == b, 1).otherwise(0))
+    checked = checked.select("doc_id", "item_id", "doc_start", F.aggregate(same, F.lit(0), lambda a, b: a + b).cast("long").alias("n_equal"), F.size("item").cast("long").alias("n_tokens"))
+    good = checked.where((F.col("n_equal") >= min_tokens) & (F.col("n_equal") >= min_share * F.col("n_tokens")))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", (-F.col("doc_start")).alias("neg"), "n_tokens")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n_equal").alias("n_equal"), F.col("b.n_tokens").alias("n_tokens"), F.round(F.col("b.n_equal") / F.col("b.n_tokens"), 4).alias("share"), (-F.col("b.neg")).cast("long").alias("doc_start"))
 
