@@ -46,6 +46,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, rows: int = 512):
+    """The record batches in pieces of at most ``rows`` rows, so that what Python makes of them stays small. What Arrow has freed is given back after each."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def byte_blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> list[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes each, one row at least; every row is in one range."""
     out, lo, n = [], 0, len(offsets) - 1

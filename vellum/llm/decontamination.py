@@ -84,6 +84,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a verified overlap. Texts are told apart by hash, so null and repeated ids do no harm."""
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    found = materialise(overlaps(texts, benchmark, **options).select(F.col("doc_id").alias("_hash")).distinct(), "leaks")
+    found = materialise(overlaps(texts, benchmark, **options).select(F.col("doc_id").alias("__leak_hash")).distinct(), "leaks")
     side = F.broadcast(found) if found.count() <= BROADCAST_SEEDS else found
-    return docs.join(side, F.xxhash64(docs["text"]) == F.col("_hash"), "left_anti")
+    return docs.join(side, F.xxhash64(docs["text"]) == F.col("__leak_hash"), "left_anti")

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise
+from vellum.llm.common import materialise, slices
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
 #: Entries of one generation of a worker's word cache; two generations are kept, about 200 bytes an entry.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 #: Pieces of one rank bucket, about.
 BUCKET_ROWS = 50_000
 
@@ -141,24 +141,22 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = word_cache(tokenizer)
         end = np.asarray([SEPARATOR_ID], "<u4").tobytes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                out = defaultdict(list)
-                for doc_id, raw in zip(part.column("doc_id").to_pylist(), cache.ids(texts) if white_space_splits else cache.encode(texts), strict=True):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        piece = raw[at : at + 4 * capacity]
-                        out["doc_id"].append(doc_id)
-                        out["piece"].append(k)
-                        out["start"].append(at // 4)
-                        out["length"].append(len(piece) // 4)
-                        out["ids_crc32"].append(zlib.crc32(piece))
-                        if keep_ids:
-                            out["ids"].append(np.frombuffer(piece, "<u4").astype(np.int32))
-                if out:
-                    yield pa.RecordBatch.from_pydict(dict(out), schema=schema)
+        for part in slices(batches):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            out = defaultdict(list)
+            for doc_id, raw in zip(part.column("doc_id").to_pylist(), cache.ids(texts) if white_space_splits else cache.encode(texts), strict=True):
+                raw += end
+                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                    piece = raw[at : at + 4 * capacity]
+                    out["doc_id"].append(doc_id)
+                    out["piece"].append(k)
+                    out["start"].append(at // 4)
+                    out["length"].append(len(piece) // 4)
+                    out["ids_crc32"].append(zlib.crc32(piece))
+                    if keep_ids:
+                        out["ids"].append(np.frombuffer(piece, "<u4").astype(np.int32))
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(out), schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise
+from vellum.llm.common import materialise, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT_CHARS = 80
@@ -119,7 +119,7 @@ def _find(batches):
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     mention = pa.list_(pa.struct([("entity", pa.string()), ("evidence", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     nothing = hashlib.sha256(b"").hexdigest()
-    for batch in batches:
+    for batch in slices(batches):
         counts, digests, bases, mentions = [[], [], [], []], [], [], []
         for text in batch.column("text").to_pylist():
             spans = find_base(text) if text else []
@@ -157,18 +157,16 @@ def document_frequencies(docs: DataFrame, slots: list[int]) -> DataFrame:
         known: dict[str, bool] = {}
         for batch in batches:
             seen = Counter()
-            for text in batch.column("text").to_pylist():
-                if not text:
-                    continue
-                terms = {t.lower() for t in set(_TERM.findall(text))}
-                for t in terms:
-                    good = known.get(t)
-                    if good is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        good = known[t] = bool(have[_term_slot(t)])
-                    if good:
-                        seen[t] += 1
+            for part in slices([batch]):
+                for text in part.column("text").to_pylist():
+                    for t in {t.lower() for t in set(_TERM.findall(text or ""))}:
+                        good = known.get(t)
+                        if good is None:
+                            if len(known) > 200_000:
+                                known.clear()
+                            good = known[t] = bool(have[_term_slot(t)])
+                        if good:
+                            seen[t] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
@@ -241,18 +239,18 @@ def mask(text: str, hidden: list[tuple[int, int, str]]) -> str:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with base spans replaced by their kind, as ``[EMAIL]``, generalised terms by ``[TERM]``, and removed terms gone. ``n_chars``, if there, follows the text."""
     _, terms = analyse(docs, **options)
-    keyed = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_text": F.col("text"), "_hash": F.xxhash64("text")})
-    t = terms.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("terms").alias("_terms"))
+    keyed = docs.withColumns({"__pii_doc": F.col("doc_id").cast("long"), "__pii_hash": F.xxhash64("text")})
+    t = terms.select(F.col("doc_id").alias("__pii_id"), F.col("text_hash").alias("__pii_h"), F.col("terms").alias("__pii_terms"))
     if terms.count() <= BROADCAST_ROWS:
         t = F.broadcast(t)
-    joined = keyed.join(t, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left").select(*docs.columns, "_terms")
+    joined = keyed.join(t, F.col("__pii_doc").eqNullSafe(F.col("__pii_id")) & (F.col("__pii_hash") == F.col("__pii_h")), "left").select(*docs.columns, "__pii_terms")
     names, schema = docs.columns, docs.schema
     has_length = "n_chars" in names
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("_terms").to_pylist(), strict=True):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("__pii_terms").to_pylist(), strict=True):
                 if text:
                     hidden = [(a, b, f"[{KINDS[k].upper()}]") for a, k, b in find_base(text)]
                     hidden += [(s["start"], s["end"], "" if s["removed"] else "[TERM]") for s in found or ()]

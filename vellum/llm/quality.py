@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import held_out, labelled_sample, text_buffers
+from vellum.llm.common import held_out, labelled_sample, slices, text_buffers
 
 WIDTH, STRIDE, DEPTH, FILTERS, CHUNK = 8, 4, 8, 32, 64
 PER_CLASS = 1500
@@ -183,7 +183,7 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = text_buffers(batch.column("text"))
             s = np.fromiter((probability(own, data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.float64, batch.num_rows)
             cols = [batch.column(c) for c in names]

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import held_out, labelled_sample
+from vellum.llm.common import held_out, labelled_sample, slices
 
 BUCKET_BITS = 20
 SIZES = (3, 4, 5, 6)
-PER_CLASS = 3000
+PER_CLASS = 2000
 MAX_CHARS = 20_000
 THRESHOLD = 0.3
 SMOOTHING = 1.0
@@ -86,16 +86,18 @@ def fit(sample: list[tuple[str, int]], sizes: tuple[int, ...] = SIZES, bucket_bi
     if not len(y) or y.min() == y.max():
         rate_of = (y.sum() + SMOOTHING) / (len(y) + 2 * SMOOTHING)
         return Model(np.zeros(size, np.float32), float(np.log(rate_of / (1 - rate_of))), bucket_bits, sizes)
-    rows = [present(t, sizes, bucket_bits).astype(np.int32) for t, _ in sample]
-    counts = [np.full(size, ALPHA), np.full(size, ALPHA)]
-    for r, t in zip(rows, y, strict=True):
-        counts[int(t)][r] += 1
+    counts = [np.full(size, ALPHA, np.float32), np.full(size, ALPHA, np.float32)]
+    for text, t in sample:
+        counts[t][present(text, sizes, bucket_bits)] += 1
     docs = [np.sum(y == 0), np.sum(y == 1)]
     ratio = (np.log(counts[1] / docs[1]) - np.log(counts[0] / docs[0])).astype(np.float32)
     ratio[(counts[0] + counts[1]) < 3 + 2 * ALPHA] = 0  # an n-gram of a document or two is no evidence
     # a ratio within its sampling noise tells nothing, and over a long text adds up to much of it
     ratio[np.abs(ratio) < NOISE * np.sqrt(1 / counts[0] + 1 / counts[1])] = 0
-    rows = [r[ratio[r] != 0] for r in rows]
+    rows = []  # features once more, as few of them count
+    for text, _ in sample:
+        r = present(text, sizes, bucket_bits)
+        rows.append(r[ratio[r] != 0].astype(np.int32))
     w, b = np.zeros(size, np.float32), 0.0
     past, past_b = np.full(size, 1.0, np.float32), 1.0
     weigh = {t: np.sqrt(len(y) / (2 * n)) for t, n in enumerate(docs)}
@@ -126,7 +128,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             s = np.fromiter((own.score(t) for t in batch.column("text").to_pylist()), np.float64, batch.num_rows)
             cols = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "toxic_score", "toxic_predicted"])
