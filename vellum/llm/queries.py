@@ -60,6 +60,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+_ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(\||s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\2\\\3', 'g')"
+_CHAT_SQL = f"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+    ), e AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+            32 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) AS chars
+        FROM c
+    ), p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM e)
+    SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(upto) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+    FROM p GROUP BY conv_id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_exact_topk, op4_toxicity, op5_substring_dedup, op6_personal_data, op7_decontamination, op8_chat_formatting, op9_simhash_near_dedup, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_topk": """
@@ -72,21 +90,5 @@ ORACLE_SQL: dict[str, str] = {
         ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
-    "op8_chat_formatting": r"""
-        WITH c AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
-        ), e AS (
-            SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
-                32 + length(regexp_replace(role, '([<\[])(\\*)(\||s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\2\\\3', 'g'))
-                   + length(regexp_replace(text, '([<\[])(\\*)(\||s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)', '\1\2\\\3', 'g')) AS chars
-            FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
-        ), p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM e)
-        SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
-            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-            sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-            CAST(sum(upto) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
-        FROM p GROUP BY conv_id
-    """.replace("\\\\", "\\"),
+    "op8_chat_formatting": _CHAT_SQL,
 }

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise, text_buffers
+from vellum.llm.common import materialise, slices, text_buffers
 from vellum.llm.components import connected_components
 
 SEED = 42
@@ -73,11 +73,11 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, text_hash:
     """(doc_id, fp) of whole texts, and text_hash if asked for; fp is the fingerprint as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = text_buffers(batch.column("text"))
             raw = data.tobytes()
             fps = [text_fingerprint(raw[a:b], shingle_words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            kept = [batch.column("doc_id"), *[batch.column("text_hash")] * text_hash]
+            kept = [batch.column(n) for n in names[:-1]]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.asarray(fps, np.uint64).view(np.int64))], names)
 
     names = ["doc_id", *["text_hash"] * text_hash, "fp"]
@@ -104,6 +104,8 @@ def key_masks(bits: int) -> list[int]:
 def finer_masks(mask: int, bits: int) -> list[int]:
     """Under a key that fixes the bits of ``mask``: masks that add a block of the others, one of which such a pair shares."""
     free = [p for p in range(64) if not mask >> p & 1]
+    if not free:
+        return []
     return [m for m in (_mask([p for p in range(64) if p not in free] + b) for b in blocks_of(free, min(bits + 1, len(free)))) if m != mask]
 
 
@@ -200,7 +202,7 @@ def classes(marked: DataFrame, bits: int = BITS, largest: int = LARGEST, node_cl
     roots = materialise(connected_components(links(nodes.select("fp"), bits, largest)), "roots")
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("_least").alias("component_id"))
-    moved = joined.join(least, "root").select("fp", "component_id", *[F.col("root").alias(node_class)] * bool(node_class))
+    moved = joined.join(least, "root").select("fp", "component_id", *[F.col("root").alias(c) for c in (node_class,) if c])
     return marked.join(moved, "fp", "left")
 
 
@@ -219,14 +221,14 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: int = BI
     order = F.struct(F.col("_id").isNull(), "_id", "_hash")
     first = told.groupBy("class").agg(F.min(order).alias("f"))
     gone = materialise(told.join(first, "class").where(order != F.col("f")).select("_id", "_hash").distinct(), "gone")
-    out = docs.withColumns({"_key_id": key[0], "_key_hash": key[1]})
+    out = docs.withColumns({"__key_id": key[0], "__key_hash": key[1]})
 
     def by_key(side: DataFrame, how: str, left: DataFrame) -> DataFrame:
-        on = left["_key_id"].eqNullSafe(side["_id"]) & (left["_key_hash"] == side["_hash"])
+        on = left["__key_id"].eqNullSafe(side["_id"]) & (left["__key_hash"] == side["_hash"])
         return left.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
 
     out = by_key(gone, "left_anti", out)
     again = materialise(marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("n")).where("n > 1").select("_id", "_hash"), "again")
     if again.count():  # rows that agree in id and text, of which one stays
-        out = by_key(again, "left_anti", out).union(by_key(again, "left_semi", out).dropDuplicates(["_key_id", "_key_hash"]))
+        out = by_key(again, "left_anti", out).union(by_key(again, "left_semi", out).dropDuplicates(["__key_id", "__key_hash"]))
     return out.select(*docs.columns)

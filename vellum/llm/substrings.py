@@ -87,7 +87,9 @@ class Group:
 
 
 def _part_runs(part: np.ndarray) -> list[tuple[int, int, int]]:
-    edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    if not len(part):
+        return []
+    edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     ends = np.append(edge[1:], len(part))
     return [(int(part[a]), int(a), int(b)) for a, b in zip(edge, ends, strict=True)]
 
