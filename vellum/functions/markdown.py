@@ -1,7 +1,5 @@
 """Columns over Markdown text: normal forms, counts and first-match classifiers. All are built-in expressions but for NFC."""
 
-from __future__ import annotations
-
 import unicodedata
 
 import pandas as pd
@@ -26,12 +24,15 @@ PROBE_MATH = r"[=∑∫√≤≥≠αβγδλΣΦΨΩ]|(?U:\b\d+/\d+\b)|\^|\\[a-
 SECTION = r"^(\d+)((?:\.\d+)*)\s+[A-Z][a-z]"
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
-    """Unicode normal form C, for which there is no built-in."""
+def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column) -> Column:
+    """Unicode normal form C, for which there is no built-in."""
+    return F.pandas_udf(_nfc, "string")(text)
+
+
 def matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 

@@ -60,7 +60,7 @@ def images_in_chapters(images: DataFrame, chapters: DataFrame, key: str = "book_
     """
     page = F.regexp_extract("name", r"(?i)_page_(\d+)_(?:Picture|Figure|Table)_\d+\.[\p{L}\p{N}_]+", 1)
     placed = images.where(page != "").select(key, "name", (page.cast("int") + 1).alias("page"))
-    pages = chapters.where(F.col("start") <= F.col("end")).select(key, "id", "ord", F.explode(F.sequence("start", "end")).cast("int").alias("page"))
+    pages = chapters.where(F.col("start") <= F.col("end")).select(key, "id", "ord", F.explode(F.sequence("start", "end").cast("array<int>")).alias("page"))
     owner = pages.groupBy(key, "page").agg(F.min(F.struct("ord", "id"))["id"].alias("id"))
     counts = placed.join(owner, [key, "page"]).groupBy(key, "id").agg(F.count("*").alias("n"))
     return chapters.select(key, "id").join(counts, [key, "id"], "left").select(key, "id", F.coalesce("n", F.lit(0)).alias("images"))

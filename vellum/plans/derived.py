@@ -36,11 +36,11 @@ def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "lang", *[x.strip() for x in _columns(FACTS)])
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "lang", *[x.strip() for x in select_list(FACTS)])
     return rows.withColumn("similarity", rows["similarity"].cast("double"))
 
 
-def _columns(text: str) -> list[str]:
+def select_list(text: str) -> list[str]:
     """A select list cut at its outer commas."""
     out, depth, cur, quoted = [], 0, "", False
     for c in text:

@@ -38,15 +38,49 @@ def markdown_folder(spark: SparkSession, root: str) -> DataFrame:
     return chosen.select("path", name.alias("chapter_id"), "text", "size_bytes").orderBy("path")
 
 
+def sidecars(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(path, value) of the files ``name`` below ``root``, path relative to it.
+
+    Spark's readers pass over names that begin with ``_``, as sidecar names do, so these are listed and read through the same file system
+    API by the driver, in portions that become rows at once. Each is a few kilobytes of metadata a document; texts never go this way.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    prefix = fs.makeQualified(base).toString().rstrip("/") + "/"
+    schema, part, out = "path string, value string", [], None
+
+    def flush(out):
+        df = spark.createDataFrame(part, schema)
+        return df if out is None else out.union(df)
+
+    found = fs.listFiles(base, True)
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName() != name:
+            continue
+        stream = fs.open(path)
+        try:
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        part.append((path.toString()[len(prefix) :], text))
+        if len(part) >= 5000:
+            out = flush(out)
+            part = []
+    return flush(out) if part or out is None else out
+
+
 def stats_tree(spark: SparkSession, root: str) -> DataFrame:
     """(rel_path, stats struct, corrupt) of every ``_stats.json``; a malformed file is a row with ``corrupt`` set, not a failure."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "_stats.json").text(root, wholetext=True).select(F.regexp_replace(_relative(root), r"/?_stats\.json$", "").alias("rel_path"), F.from_json("value", STATS_SCHEMA + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("s"))
+    raw = sidecars(spark, root, "_stats.json").select(F.regexp_replace("path", r"/?_stats\.json$", "").alias("rel_path"), F.from_json("value", STATS_SCHEMA + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("s"))
     return raw.select("rel_path", "s", F.col("s._corrupt_record").isNotNull().alias("corrupt"))
 
 
 def series_tree(spark: SparkSession, root: str) -> DataFrame:
     """(rel_path, iterations) of the ``_multi_roundtrip.json`` that can be read."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "_multi_roundtrip.json").text(root, wholetext=True).select(F.regexp_replace(_relative(root), r"/?_multi_roundtrip\.json$", "").alias("rel_path"), F.from_json("value", SERIES_SCHEMA).alias("s"))
+    raw = sidecars(spark, root, "_multi_roundtrip.json").select(F.regexp_replace("path", r"/?_multi_roundtrip\.json$", "").alias("rel_path"), F.from_json("value", SERIES_SCHEMA).alias("s"))
     return raw.where("s.iterations IS NOT NULL").select("rel_path", "s.iterations")
 
 
