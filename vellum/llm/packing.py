@@ -31,7 +31,7 @@ SEPARATOR_ID = 0
 #: Entries of one generation of a worker's word cache; two generations are kept, about 200 bytes an entry.
 CACHE_WORDS = 250_000
 #: Pieces of one rank bucket, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 8192
 
 #: str.split() cuts at the first ones, which are not white space to the tokenizer; special tokens hold the last.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")

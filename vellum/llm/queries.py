@@ -78,6 +78,35 @@ _CHAT_SQL = f"""
     FROM p GROUP BY conv_id
 """
 
+_REPEATS_SQL = r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, pos, array_to_string(ws[pos + 1 : pos + 50], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS pos FROM w WHERE len(ws) >= 50)),
+    bad AS (SELECT s.doc_id, s.pos FROM s JOIN (SELECT k, min(doc_id) AS least FROM s GROUP BY k) m ON s.k = m.k AND m.least < s.doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS i FROM bad),
+    words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS line, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[[:punct:]]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+def _seeds_sql(key: str, rows: str) -> str:
+    """The masked windows of ``rows`` (key, toks), spelled out."""
+    parts = []
+    for m, mask in enumerate(decontamination.MASKS):
+        used = [f"toks[pos + {i + 1}]" for i, c in enumerate(mask) if c == "1"]
+        parts.append(f"SELECT {key}, pos, {m} AS m, {' || chr(10) || '.join(used)} AS seed FROM (SELECT {key}, toks, unnest(range(len(toks))) AS pos FROM {rows}) WHERE {used[-1]} IS NOT NULL")
+    return " UNION ALL ".join(parts)
+
+
+_OVERLAPS_SQL = f"""
+    WITH d AS (SELECT doc_id, {_TOKENS} AS toks FROM documents), b AS (SELECT item_id, {_TOKENS} AS toks FROM benchmark), i AS (SELECT * FROM b WHERE len(toks) >= {decontamination.MIN_TOKENS}),
+    hits AS (SELECT DISTINCT x.doc_id, y.item_id, x.pos - y.pos AS doc_start FROM ({_seeds_sql("doc_id", "d")}) x JOIN ({_seeds_sql("item_id", "i")}) y USING (m, seed)),
+    v AS (SELECT h.*, len(list_filter(range(len(i.toks)), lambda j: h.doc_start + j >= 0 AND d.toks[greatest(h.doc_start + j, 0) + 1] = i.toks[j + 1])) AS n_equal, len(i.toks) AS n_tokens FROM hits h JOIN d USING (doc_id) JOIN i USING (item_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, doc_start) AS k FROM v WHERE n_equal >= {decontamination.MIN_TOKENS} AND n_equal >= {decontamination.MIN_SHARE} * n_tokens)
+    SELECT doc_id, item_id, CAST(n_equal AS BIGINT) AS n_equal, CAST(n_tokens AS BIGINT) AS n_tokens, round(n_equal / n_tokens, 4) AS share, CAST(doc_start AS BIGINT) AS doc_start FROM r WHERE k = 1
+"""
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_exact_topk, op4_toxicity, op5_substring_dedup, op6_personal_data, op7_decontamination, op8_chat_formatting, op9_simhash_near_dedup, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_topk": """
@@ -90,5 +119,7 @@ ORACLE_SQL: dict[str, str] = {
         ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op5_substring_dedup": _REPEATS_SQL,
+    "op7_decontamination": _OVERLAPS_SQL,
     "op8_chat_formatting": _CHAT_SQL,
 }
