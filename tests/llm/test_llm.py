@@ -569,6 +569,21 @@ def test_assign(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 2
 
 
+# --- tables that cut lineages
+
+
+def test_tables_go_to_the_shared_folder(spark):
+    from vellum.llm import common
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    df = common.materialise(spark.range(5).toDF("x"), "numbers")
+    path = common._WRITTEN[-1]
+    assert path.startswith(base) and df.count() == 5
+    common.drop_tables(spark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(path)
+
+
 # --- registered queries and the pipeline
 
 

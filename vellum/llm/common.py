@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -17,10 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+_WRITTEN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Only where it is unset: the warehouse folder, or for a master on one machine a folder that goes with this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="vellum-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return f"file://{_OWN[0]}"
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder of ``spark.checkpoint.dir``; only where that is unset (tests), in the warehouse folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/vellum/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    _WRITTEN.append(f"{shared_folder(spark).rstrip('/')}/vellum/{what}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that this process has written to cut lineages. Results that were not stored yet can't be read afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:

@@ -34,6 +34,8 @@ SHINGLE_WORDS = 3
 BITS = 3
 #: Fingerprints of one key that are compared in one task; larger keys are dealt again.
 LARGEST = 8192
+#: Parts that the rows of a class are dealt to.
+SALTS = 32
 #: Keys up to which a list of rows to drop is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -219,8 +221,11 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: int = BI
     marked = materialise(fingerprints(docs, shingle_words, text_hash=True), "fingerprints")
     told = classes(marked, bits, node_class="class").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "class")
     order = F.struct(F.col("_id").isNull(), "_id", "_hash")
-    first = told.groupBy("class").agg(F.min(order).alias("f"))
-    gone = materialise(told.join(first, "class").where(order != F.col("f")).select("_id", "_hash").distinct(), "gone")
+    # a class may hold a third of all rows: its rows are salted, its first one is found by salt before by class
+    told = materialise(told.withColumn("salt", F.pmod(F.xxhash64("_id", "_hash"), F.lit(SALTS))), "classes")
+    first = told.groupBy("class", "salt").agg(F.min(order).alias("f")).groupBy("class").agg(F.min("f").alias("f"))
+    spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    gone = materialise(told.join(spread, ["class", "salt"]).where(order != F.col("f")).select("_id", "_hash").distinct(), "gone")
     out = docs.withColumns({"__key_id": key[0], "__key_hash": key[1]})
 
     def by_key(side: DataFrame, how: str, left: DataFrame) -> DataFrame:
