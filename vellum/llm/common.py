@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that numpy steps take at a time, so that their 8-byte temporaries stay small.
 BLOCK_BYTES = 1 << 20
+#: Bytes up to which small partitions are put together.
+PACK_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +54,21 @@ def drop_tables(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` with small partitions put together: three tasks a core at least, and no task for less than ``PACK_BYTES`` of what Spark takes the rows for.
+
+    Each written file costs the executors a few processes and the file system an entry. Large inputs stay as they are, as does
+    whatever Spark can't size.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(3 * df.sparkSession.sparkContext.defaultParallelism, min(size // PACK_BYTES, 1 << 30) + 1))
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    packed(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
