@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise, slices
+from vellum.llm.common import materialise, packed, slices
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
@@ -287,7 +287,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return df.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return packed(df.mapInArrow(place, f"{fields}, sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
