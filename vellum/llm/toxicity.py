@@ -25,7 +25,7 @@ from vellum.llm.common import held_out, labelled_sample, slices
 
 BUCKET_BITS = 20
 SIZES = (3, 4, 5, 6)
-PER_CLASS = 2000
+PER_CLASS = 3000
 MAX_CHARS = 20_000
 THRESHOLD = 0.3
 SMOOTHING = 1.0
