@@ -68,8 +68,9 @@ def folder_totals(spark, d):
 def corpus_rollup(spark, d):
     """Metrics and the second-pass signal of each document, by source."""
     m = markdown.metrics(F.col("md"))
-    signal = labels.pass2(markdown.matches(F.col("md"), markdown.PASS2_MATH), F.length("md"), F.col("n_chars") % 9)
-    rows = md_docs(spark, d).select("source", *[m[c].alias(c) for c in ("tokens", "words", "math_inline", "tables_rough")], signal["warranted"].alias("w"))
+    signal = labels.pass2(F.col("hits"), F.col("chars"), F.col("n_chars") % 9)
+    counts = [m[c].alias(c) for c in ("tokens", "words", "math_inline", "tables_rough")]
+    rows = md_docs(spark, d).select("source", "n_chars", *counts, markdown.matches(F.col("md"), markdown.PASS2_MATH).alias("hits"), F.length("md").alias("chars")).withColumn("w", signal["warranted"])
     return rows.groupBy("source").agg(F.count("*").alias("documents"), *[F.sum(c).alias(c) for c in ("tokens", "words", "math_inline", "tables_rough")], F.count_if("w").alias("second_pass"))
 
 
@@ -77,8 +78,9 @@ _HITS = r"[=∑∫√≤≥≠αβγδλμνπσφψωΣΦΨΩ∇∂±×·→]|\
 
 
 def pass2_signal(spark, d):
-    signal = labels.pass2(markdown.matches(F.col("md"), markdown.PASS2_MATH), F.length("md"), F.col("doc_id") % 9)
-    return md_docs(spark, d).select("doc_id", *[c.alias(n) for n, c in signal.items()])
+    signal = labels.pass2(F.col("hits"), F.col("chars"), F.col("doc_id") % 9)
+    counted = md_docs(spark, d).select("doc_id", markdown.matches(F.col("md"), markdown.PASS2_MATH).alias("hits"), F.length("md").alias("chars"))
+    return counted.select("doc_id", *[c.alias(n) for n, c in signal.items()])
 
 
 def latex_top_per_doc(spark, d):
