@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontamination, packing, pii, simhash, toxicity
+from vellum.llm import decontamination, packing, pii, shingles, toxicity
 from vellum.llm.common import materialise, table
 from vellum.llm.queries import word_tokenizer
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class."""
-    return simhash.keep_one(docs)
+    """One document of each class of texts with a Jaccard similarity of 0.8 or more over shingles of five words."""
+    return shingles.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, components, decontamination, packing, pii, quality, queries, sharding, simhash, substrings, topk, toxicity
+from vellum.llm import chat, components, decontamination, packing, pii, quality, queries, sharding, shingles, simhash, substrings, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -507,6 +507,46 @@ def test_keep_one(spark):
     assert "toxic_score" in kept.columns
 
 
+def five_word_sets(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_pipeline_links_five_word_shingles(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    texts = [None, "", "two words", "Two  words", "two other words"]
+    for size in (40, 180, 400):
+        for _ in range(4):
+            base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            texts.append(" ".join(base))
+            for edits in (1, 2, size // 60 + 1, size // 20):
+                copy = list(base)
+                for i in rng.sample(range(size), edits):
+                    copy[i] = "edited"
+                texts.append(" ".join(copy))
+    sets = [five_word_sets(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    narrow = brute_classes([brute_fingerprint(t, 3) for t in texts], 3)
+    assert any(a != b for a, b in zip(root, narrow, strict=True))
+    kept = cp.drop_near_copies(spark, docs_of(spark, texts), SF)
+    assert {r.doc_id for r in kept.collect()} == set(root)
+
+
+def test_pairs_of_a_key_meet_across_classes():
+    nodes, sizes, roots = np.arange(6), np.array([10, 10, 10, 10, 10, 30]), np.array([0, 0, 2, 2, 4, 4])
+    star = [(int(a), int(b)) for u, v in shingles.key_pairs(nodes, sizes, None) for a, b in zip(u, v, strict=True)]
+    cross = {(int(a), int(b)) for u, v in shingles.key_pairs(nodes, sizes, roots) for a, b in zip(u, v, strict=True)}
+    assert star == [(0, 1), (0, 2), (0, 3), (0, 4)]
+    assert cross == {(a, b) for a in range(5) for b in range(a + 1, 5) if roots[a] != roots[b]}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(30)] + [(5, 5)]

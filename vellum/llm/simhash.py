@@ -217,9 +217,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: i
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: int = BITS) -> DataFrame:
     """``docs`` (doc_id, text, ...) with one row of each class: that of the smallest doc_id, nulls last, then of the smallest text hash."""
-    key = (F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
     marked = materialise(fingerprints(docs, shingle_words, text_hash=True), "fingerprints")
-    told = classes(marked, bits, node_class="class").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "class")
+    return keep_first(docs, classes(marked, bits, node_class="class").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "class"))
+
+
+def keep_first(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class as ``keep_one`` picks it; ``told`` (_id, _hash, class) has a row for each of theirs."""
+    key = (F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
     order = F.struct(F.col("_id").isNull(), "_id", "_hash")
     # a class may hold a third of all rows: its rows are salted, its first one is found by salt before by class
     told = materialise(told.withColumn("salt", F.pmod(F.xxhash64("_id", "_hash"), F.lit(SALTS))), "classes")
@@ -233,7 +237,7 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: int = BI
         return left.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
 
     out = by_key(gone, "left_anti", out)
-    again = materialise(marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("n")).where("n > 1").select("_id", "_hash"), "again")
+    again = materialise(told.groupBy("_id", "_hash").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_hash"), "again")
     if again.count():  # rows that agree in id and text, of which one stays
         out = by_key(again, "left_anti", out).union(by_key(again, "left_semi", out).dropDuplicates(["__key_id", "__key_hash"]))
     return out.select(*docs.columns)
