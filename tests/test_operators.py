@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import markdown
 from vellum.operators import align, compare, corpus, images, layout, provenance, registry, routing, tables
-from vellum.plans import report
+from vellum.plans import report, structure_queries
 from vellum.sources import files, runners, sinks, synthetic
 from vellum.streaming import samples
 
@@ -234,3 +234,13 @@ def test_stream_of_samples(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(samples) FROM windows").first()[0] == src.count()
+
+
+def test_text_pairs_hold_every_document(spark, tmp_path):
+    long = "the long words of it. " * 500
+    spark.createDataFrame([(0, "the short one"), (1, long), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in structure_queries.token_similarity(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2}
+    assert got[1].md1_tokens == len(long.split())
+    assert {r.doc_id for r in structure_queries.divergence_opcodes(spark, str(tmp_path)).collect()} == {0, 1}
+    assert {r.doc_id for r in structure_queries.first_differences(spark, str(tmp_path)).collect()} == {0, 1}

@@ -147,7 +147,7 @@ def first_by_key(spark, d):
 
 
 def _text_pairs(spark, d):
-    docs = table(spark, d, "documents").where(F.length("text") < 8000)
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", F.col("text").alias("a"), F.regexp_replace(F.regexp_replace("text", r"(\w+) (\w+)\.", "$2 _$1_."), "the", r"the \$x\$").alias("b"))
 
 
