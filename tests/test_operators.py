@@ -244,3 +244,10 @@ def test_text_pairs_hold_every_document(spark, tmp_path):
     assert got[1].md1_tokens == len(long.split())
     assert {r.doc_id for r in structure_queries.divergence_opcodes(spark, str(tmp_path)).collect()} == {0, 1}
     assert {r.doc_id for r in structure_queries.first_differences(spark, str(tmp_path)).collect()} == {0, 1}
+
+
+def test_region_merge_reads_every_page(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r.l_orderkey for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().collect()}
+    assert max(pages) >= 2000
+    assert {r.page for r in structure_queries.region_merge(spark, sf).select("page").distinct().collect()} == pages

@@ -181,7 +181,7 @@ def page_wer_dtw(spark, d):
 
 
 def region_merge(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey < 2000").selectExpr("l_orderkey AS page", "CAST(l_linenumber AS BIGINT) AS ord", f"{_box(3)} AS bbox", "CASE WHEN l_linenumber = 2 THEN '2' END AS label", "l_partkey % 2 = 0 AS cmex", "l_tax AS density", "CAST(l_linenumber AS INT) AS n_lines", "array(CAST(l_linenumber AS INT)) AS block_indices")
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey AS page", "CAST(l_linenumber AS BIGINT) AS ord", f"{_box(3)} AS bbox", "CASE WHEN l_linenumber = 2 THEN '2' END AS label", "l_partkey % 2 = 0 AS cmex", "l_tax AS density", "CAST(l_linenumber AS INT) AS n_lines", "array(CAST(l_linenumber AS INT)) AS block_indices")
     return layout.merge_regions(rows, ["page"])
 
 
