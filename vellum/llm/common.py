@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy steps take at a time, so that their 8-byte temporaries stay small.
@@ -28,12 +28,12 @@ _WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``. Only where it is unset: the warehouse folder, or for a master on one machine a folder that goes with this process."""
+    """``spark.checkpoint.dir``. Where it is unset: for a master on one machine a folder that goes with this process; on a cluster, whose machines share no local folder, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        return spark.conf.get("spark.sql.warehouse.dir")
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="vellum-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -46,11 +46,18 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return _WRITTEN[-1]
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete the tables that this process has written to cut lineages. Results that were not stored yet can't be read afterwards."""
+def written() -> int:
+    """How many tables this process has written so far, for ``drop_tables``."""
+    return len(_WRITTEN)
+
+
+def drop_tables(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables that this process has written to cut lineages, from number ``since`` on and but for ``keep``. Results that were not stored yet can't be read afterwards."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    kept = {getattr(df, "_written_to", None) for df in keep}
+    for name in [p for p in _WRITTEN[since:] if p not in kept]:
+        _WRITTEN.remove(name)
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -69,7 +76,37 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, what)
     packed(df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+#: Rows (or what is weighed for them) up to which a side is broadcast by ``dimension_join``, and the parts that a larger side is repeated in.
+BROADCAST_ROWS = 200_000
+SALTS = 32
+
+
+def dimension_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, spread: Column, weight: Column | None = None, size: int | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each of the ``keys``; a key of ``left`` may hold a third of its rows.
+
+    ``right`` is broadcast if the sum of ``weight`` over it (its rows, by default), or the bound ``size`` of it that the caller knows, is at most ``BROADCAST_ROWS``.
+    A larger one is repeated ``SALTS`` times, and the rows of a key of ``left`` are dealt over as many parts by the hash of ``spread``.
+    """
+    if size is None:
+        size = right.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    if size <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    dealt = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS).cast("long"))).join(dealt, [*keys, "__salt"], how).drop("__salt")
+
+
+def in_runs(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """``df`` dealt by ``keys`` and sorted by them and ``order``, so that a key's rows follow one another in one partition.
+
+    Where a join dealt the rows by the same keys before, Spark drops a plain repartition, and may then read the join's rows in another
+    way that splits keys; the constant keeps the exchange.
+    """
+    return df.repartition(*keys, F.lit("runs")).sortWithinPartitions(*keys, *order)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,56 +152,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _POWERS.get(kind)
-    if have is None or len(have) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        have = _POWERS[kind] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
-def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the slices ``values[start:end]``, equal for equal slices wherever they stand."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * _powers("up", _BASE, max(n, 1))[:n], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _powers("down", _INVERSE, n + 1)[starts]
-    return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-
-
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends, in bytes, of the words ``[^\\x20\\x09-\\x0D]+`` of all rows, and each row's first word (length + 1)."""
-    cut = np.ones(len(data) + 1, bool)
-    cut[: len(data)] = _SPACE[data]
-    inside = ~cut[:-1]
-    first = np.zeros(len(data) + 1, bool)  # rows begin here: a word never spans two rows
-    first[offsets] = True
-    starts = np.flatnonzero(inside & (np.concatenate(([True], cut[:-2])) | first[:-1])) if len(data) else np.zeros(0, np.int64)
-    ends = np.flatnonzero(inside & (cut[1:] | first[1:])) + 1 if len(data) else np.zeros(0, np.int64)
-    return starts, ends, np.searchsorted(starts, offsets)
-
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, in order, and each row's first word (length + 1). Large inputs are taken in blocks."""
-    hashes, firsts, before = [], [np.zeros(1, np.int64)], 0
-    for lo, hi in byte_blocks(offsets):
-        part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        starts, ends, first = words(part, off)
-        hashes.append(rolling(part.astype(np.uint64) + np.uint64(1), starts, ends))
-        firsts.append(first[1:] + before)
-        before += len(starts)
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate(firsts)
+    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, in order, and each row's first word (length + 1)."""
+    import xxhash
+
+    raw, hashes, counts = data.tobytes(), [], [0]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        found = raw[a:b].split()
+        hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
+        counts.append(len(found))
+    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(counts)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -172,22 +169,31 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
+#: Windows that a long text is learnt from.
+SAMPLE_WINDOWS = 8
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, seed: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` texts of either label, of at most ``max_chars`` characters, from rows that are not held out.
+    """At most ``per_class`` texts of either label, from rows that are not held out; of a text beyond ``max_chars`` characters, windows spread over all of it.
 
-    The bound keeps what reaches the driver under ``2 * per_class`` texts at any size. Ids are drawn by
-    hash order, so the sample is the same on every run. Null ids, texts and labels take no part; of
-    contradicting labels of one id the larger counts.
+    The bounds keep what reaches the driver under ``2 * per_class * max_chars`` characters at any size. Only rows that have a text are drawn, whole
+    ones first, and among them by hash order, so the sample is the same on every run and a class of nothing but long texts is learnt from them.
+    Null ids, texts and labels take no part; of contradicting labels of one id the larger counts, of several texts of one id the least.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
-    order = F.xxhash64("doc_id", F.lit(seed))
     spark = docs.sparkSession
-    drawn = [(r.doc_id, r.y) for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class).collect()]
+    sized = docs.where(F.col("text").isNotNull()).select("doc_id", (F.length("text") > max_chars).alias("cut")).join(known, "doc_id")
+    ready = materialise(sized.groupBy("doc_id").agg(F.max("cut").alias("cut"), F.max("y").alias("y")), "labelled")
+    order = ("cut", F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    drawn = [(r.doc_id, r.y) for y in (0, 1) for r in ready.where(F.col("y") == y).orderBy(*order).limit(per_class).collect()]
     if not drawn:
         return []
     chosen = spark.createDataFrame(drawn, "doc_id long, y int")
+    width = max(1, max_chars // SAMPLE_WINDOWS)
+    step = (F.length("text") - width) / max(1, SAMPLE_WINDOWS - 1)
+    windows = F.concat(*[F.substring(F.col("text"), (F.floor(step * i) + 1).cast("int"), F.lit(width)) for i in range(SAMPLE_WINDOWS)])
     texts = (
-        docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text")
+        docs.where(F.col("text").isNotNull()).select("doc_id", F.when(F.length("text") <= max_chars, F.col("text")).otherwise(windows).alias("text"))
         .join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     )
     return [(r.text, r.y) for r in sorted(texts.collect(), key=lambda r: r.doc_id)]

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise
+from vellum.llm.common import dimension_join, drop_tables, materialise, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
     """Hang each node's larger (large star) or smaller (small star) neighbours on the least of its neighbourhood.
 
-    The least neighbour comes from an aggregate, which combines before the shuffle, and is joined back, so
-    that the centre of a big star is never gathered in one task.
+    The least neighbour comes from an aggregate, which combines before the shuffle. It is joined back by broadcast, or beyond its bound with the
+    neighbours of each node dealt over several parts, so that the centre of a big star is never gathered in one task. ``most`` bounds the nodes.
     """
     if large:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = near.join(least, "u")
+    joined = dimension_join(near, least, ["u"], "inner", F.col("v"), size=most)
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -42,8 +42,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = materialise(_star(_star(now, True), False), "edges")
-        then, seen = seen, measure(now)
+        since, most = written(), 2 * seen[0]
+        wide = materialise(_star(now, True, most), "edges")
+        fresh = materialise(_star(wide, False, most), "edges")
+        then, seen = seen, measure(fresh)
+        drop_tables(edges.sparkSession, since - 1, keep=(fresh,))
+        now = fresh
         if then == seen:
             break
     else:
