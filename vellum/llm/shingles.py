@@ -1,15 +1,17 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, for the pipeline.
+"""Classes of texts whose word shingles have a Jaccard similarity of 0.8 or more: what ``simhash.keep_one`` keeps one of each of.
 
-Candidates come from MinHash bands: ``BANDS`` keys of ``ROWS`` minima each. A pair at a similarity of exactly ``SIMILARITY`` shares no
-key with a probability of 8e-6, one at 0.85 with 1e-9. Every candidate is then checked on its whole shingle sets, so nothing is
-linked by chance.
+Links come first from fingerprints of the shingle sets, as ``simhash`` makes and joins them by pigeonhole blocks. Pairs at the similarity asked for
+differ in ten bits of 64 on average, which no blocks of 64 bits find, so what fingerprints leave apart is looked for by MinHash bands:
+``BANDS`` keys of ``ROWS`` minima each. A pair at a similarity of exactly ``SIMILARITY`` shares no key with a probability of 6e-4, one at 0.85 with 3e-6. Every
+candidate of either kind is checked on its whole shingle sets, so nothing is linked by chance.
 
-Equal sets are one node from the start. The nodes of a key are compared with its least node first, which joins a group of near copies
-without all its pairs; then all pairs of the key whose nodes are still in different classes are compared. Pairs whose set sizes
-alone keep them under the similarity are left out of both. No key is dropped or cut.
+Equal sets are one node from the start. Only keys whose nodes are of several classes go on: their nodes are compared with the least node first, which
+joins a group of near copies without all its pairs; then pairs of nodes that are still in different classes are. Pairs whose set sizes
+alone keep them under the similarity are left out of all. No key is dropped or cut.
 
 Defined results: words and case are those of ``simhash``; a text with fewer words than a shingle is one shingle; null and blank texts
-have the empty set, which equals itself.
+have the empty set, which equals itself; very long texts are compared whole; repeated rows are of one class; null ids don't matter here; an empty table
+gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import byte_blocks, materialise, mix64, slices, text_buffers, word_hashes
+from vellum.llm.common import byte_blocks, dimension_join, in_runs, materialise, mix64, slices, text_buffers, word_hashes
 from vellum.llm.components import connected_components
-from vellum.llm.simhash import _LOWER, keep_first
+from vellum.llm.simhash import _LOWER, fingerprint, links
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 64, 8
+BANDS, ROWS = 40, 8
+#: What products of the similarity and a set's size are off by at most, which are whole numbers where it matters.
+ROUNDING = 1e-6
 
 _FOLD = np.frombuffer(_LOWER, np.uint8)
 _FACTOR = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -64,7 +68,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def mark(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, n, keys) for every row: ``node`` tells the shingle set, ``n`` is its size; empty sets have no keys."""
+    """(doc_id, text_hash, node, n, fp, keys) for every row: ``node`` tells the shingle set, ``n`` is its size, ``fp`` its fingerprint; empty sets have no keys."""
 
     def run(batches):
         for batch in slices(batches):
@@ -77,35 +81,29 @@ def mark(docs: DataFrame) -> DataFrame:
                 if some:
                     for i, k in zip(some, band_keys([part[i] for i in some]).view(np.int64), strict=True):
                         mine[i] = k
-                sets += [(_set_id(s), len(s)) for s in part]
+                sets += [(_set_id(s), len(s), fingerprint(s)) for s in part]
                 keys += mine
             ids = np.asarray([s[0] for s in sets], np.uint64).view(np.int64)
-            sizes = pa.array([s[1] for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(ids), sizes, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "n", "keys"])
+            sizes, fps = pa.array([s[1] for s in sets], pa.int32()), np.asarray([s[2] for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(ids), sizes, pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "n", "fp", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n int, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n int, fp long, keys array<long>")
 
 
-def key_pairs(nodes: np.ndarray, sizes: np.ndarray, roots: np.ndarray | None, similarity: float = SIMILARITY):
-    """Arrays (u, v) to be checked in one key: against the least node, or with ``roots`` all pairs of different classes."""
-    if roots is None:
-        fits = np.minimum(sizes, sizes[0]) >= similarity * np.maximum(sizes, sizes[0])
-        fits[0] = False
-        yield np.full(int(fits.sum()), nodes[0]), nodes[fits]
-        return
+def key_pairs(nodes: np.ndarray, sizes: np.ndarray, roots: np.ndarray, similarity: float = SIMILARITY):
+    """Arrays (u, v) to be checked in one key: the pairs of nodes of different classes."""
     order = np.argsort(roots, kind="stable")
     nodes, sizes, roots = nodes[order], sizes[order], roots[order]
     after = np.searchsorted(roots, roots, "right")  # where the next class begins
     for i in np.flatnonzero(after < len(nodes)).tolist():
         v, n = nodes[after[i] :], sizes[after[i] :]
-        v = v[np.minimum(n, sizes[i]) >= similarity * np.maximum(n, sizes[i])]
+        v = v[np.minimum(n, sizes[i]) >= similarity * np.maximum(n, sizes[i]) - ROUNDING]
         yield np.minimum(v, nodes[i]), np.maximum(v, nodes[i])
 
 
 def candidates(dealt: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of nodes that meet under a key of ``dealt`` (band, key, node, n[, root])."""
-    with_roots = "root" in dealt.columns
+    """Distinct pairs (u, v) of nodes of different classes that meet under a key of ``dealt`` (band, key, node, n, root)."""
 
     def run(batches):
         def rows(found):
@@ -115,13 +113,13 @@ def candidates(dealt: DataFrame) -> DataFrame:
         def close(parts):
             whole = [np.concatenate(c) for c in zip(*parts, strict=True)]
             if len(whole[0]) > 1:
-                yield from key_pairs(whole[0], whole[1], whole[2] if with_roots else None)
+                yield from key_pairs(*whole)
 
         at, parts, out, size = None, [], [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bands, keys, *cols = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "node", "n", *["root"] * with_roots))
+            bands, keys, *cols = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "node", "n", "root"))
             edge = np.flatnonzero((keys[1:] != keys[:-1]) | (bands[1:] != bands[:-1])) + 1
             bounds = np.concatenate(([0], edge, [len(keys)]))
             # runs of one row in the middle of a batch pair nothing
@@ -144,7 +142,7 @@ def candidates(dealt: DataFrame) -> DataFrame:
                 out, size = [], 0
         yield rows(out)
 
-    return dealt.repartition("band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(run, "u long, v long").distinct()
+    return in_runs(dealt.select("band", "key", "node", "n", "root"), ["band", "key"], "node").mapInArrow(run, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -162,38 +160,59 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
             for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
                 a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(both >= similarity * (len(a) + len(b) - both))
+                good.append(both >= similarity * (len(a) + len(b) - both) - ROUNDING)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    asked = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
-    known = materialise(texts.join(asked, "node", "left_semi").mapInArrow(sets, "node long, shingles binary"), "sets")
+    known = materialise(texts.mapInArrow(sets, "node long, shingles binary"), "sets")
     a, b = (known.select(F.col("node").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "a"), ("v", "b")))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    return materialise(connected_components(links), "roots")
+def _roots(found: DataFrame) -> DataFrame:
+    return materialise(connected_components(found), "roots")
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) of ``nodes`` (node, n, fp) whose fingerprints are linked or equal; of nodes with one fingerprint, each with the least."""
+    least = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    equal = dimension_join(nodes.select("node", "fp"), least, ["fp"], "inner", F.col("node")).where("first < node").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    ends = [least.select(F.col("fp").alias(k), F.col("first").alias(f"{k}_node")) for k in ("u", "v")]
+    near = links(least.select("fp")).join(ends[0], "u").join(ends[1], "v")
+    return equal.union(near.select(F.least("u_node", "v_node"), F.greatest("u_node", "v_node"))).distinct()
 
 
 def classes(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """(_id, _hash, class) for every row of ``marked``, which ``mark`` gave for ``docs``. Reads both more than once, so give stored tables."""
-    nodes = marked.groupBy("node").agg(F.min_by(F.struct("n", "keys"), "text_hash").alias("s"), F.min("text_hash").alias("text_hash"))
-    dealt = materialise(nodes.select("node", "s.n", F.posexplode("s.keys").alias("band", "key")), "bands")
-    one = materialise(nodes.select("node", "text_hash"), "nodes")
-    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).dropDuplicates(["text_hash"]).join(one, "text_hash").select("node", "text")
-    first = materialise(candidates(dealt), "pairs")
-    links = materialise(verified(first, texts), "links")
-    roots = _roots(links)
-    # keys whose nodes are all of one class are settled
-    told = dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = told.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
-    rest = materialise(told.join(open_keys, ["band", "key"], "left_semi"), "open")
-    second = materialise(candidates(rest).join(first, ["u", "v"], "left_anti"), "pairs")
-    roots = _roots(links.union(verified(second, texts)))
-    out = marked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node").join(roots, "node", "left")
-    return out.select("_id", "_hash", F.coalesce("root", "node").alias("class"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with one row of each class: that of the smallest doc_id, nulls last, then of the smallest text hash."""
-    return keep_first(docs, classes(docs, materialise(mark(docs), "shingles")))
+    nodes = marked.groupBy("node").agg(F.min_by(F.struct("n", "fp", "keys"), "text_hash").alias("s"), F.min("text_hash").alias("text_hash"))
+    nodes = materialise(nodes.select("node", "text_hash", "s.n", "s.fp", "s.keys"), "nodes")
+    once = docs.select("text", F.xxhash64("text").alias("text_hash"))
+    known = nodes.select("node", "text_hash")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        wanted = known.join(asked, "node", "left_semi")
+        return dimension_join(once, wanted, ["text_hash"], "inner", F.monotonically_increasing_id()).dropDuplicates(["node"]).select("node", "text")
+
+    def settle(pairs: DataFrame, so_far: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        good = materialise(verified(pairs, texts_of(pairs)), "links")
+        good = good if so_far is None else so_far.union(good)
+        return good, _roots(good)
+
+    def open_keys(roots: DataFrame) -> DataFrame:
+        """Rows (band, key, node, n, root, first) of the keys whose nodes are of several classes; ``first`` is the key's least node with its size."""
+        rooted = dimension_join(nodes.select("node", "n", "keys"), roots, ["node"], "left", F.col("node"))
+        told = rooted.select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("keys").alias("band", "key"))
+        several = told.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("node", "n")).alias("first")).where("lo < hi")
+        return told.join(several.select("band", "key", "first"), ["band", "key"])
+
+    first = materialise(fingerprint_pairs(nodes), "pairs")
+    good, roots = settle(first, None)
+    star = open_keys(roots).where(F.col("first.node") < F.col("node")).where(F.least("n", "first.n") >= SIMILARITY * F.greatest("n", "first.n") - ROUNDING)
+    star = star.select(F.col("first.node").alias("u"), F.col("node").alias("v")).distinct()
+    second = materialise(star.join(first, ["u", "v"], "left_anti"), "pairs")
+    good, roots = settle(second, good)
+    seen = first.union(second)
+    third = materialise(candidates(open_keys(roots)).join(seen, ["u", "v"], "left_anti"), "pairs")
+    good, roots = settle(third, good)
+    out = marked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node")
+    return dimension_join(out, roots, ["node"], "left", F.col("_id")).select("_id", "_hash", F.coalesce("root", "node").alias("class"))

@@ -9,12 +9,13 @@ one block, for ten rows a fingerprint instead of four.
 
 Equal fingerprints are one node from the start, so exact copies never meet each other. Within a key only
 a spanning forest of the verified links is passed on, which keeps the classes whole without all the
-pairs of a group of near copies. A key with more than ``LARGEST`` fingerprints is dealt again by the
-blocks of its other bits, as often as needed, so that none is dropped and no task holds an unbounded key.
+pairs of a group of near copies. Keys are counted first; one with more than ``LARGEST`` fingerprints is dealt by the
+blocks of its other bits instead, as often as needed, so that none is dropped and no task holds an unbounded key.
 
 Defined results: a null or blank text has no words and fingerprint zero, which links like any other;
-texts with fewer words than a shingle hash their whole word sequence; repeated rows each get a row; a
-null id keeps its row and its links, and never names a class unless all ids of the class are null.
+texts with fewer words than a shingle hash their whole word sequence; very long texts are hashed whole; repeated rows each get a row; a
+null id keeps its row and its links, and never names a class unless all ids of the class are null; an empty table gives no rows; extra columns, whatever
+their names, are ignored, or kept by ``keep_one``. Of rows that agree in id and text ``keep_one`` keeps one, and which one's other columns stay is open.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise, slices, text_buffers
+from vellum.llm.common import dimension_join, in_runs, materialise, slices, text_buffers
 from vellum.llm.components import connected_components
 
 SEED = 42
@@ -130,67 +131,59 @@ def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def _linked(dealt: DataFrame, bits: int, largest: int) -> DataFrame:
-    """From (mask, key, fp): links (u, v, mask null), and the rows (fp, key, mask) of keys with over ``largest`` fingerprints."""
+def _linked(dealt: DataFrame, bits: int) -> DataFrame:
+    """Links (u, v) among the fingerprints of each key of (mask, key, fp); a key is held in one task."""
 
     def run(batches):
-        def close(mask, key, parts, size, over):
-            if over:
-                return
-            if size > 1:
-                yield from ((u, v, None) for u, v in forest(np.unique(np.concatenate(parts)).view(np.uint64), bits))
-
         def rows(found):
-            u, v, m = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(m, pa.int64())], ["u", "v", "mask"])
+            u, v = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        def close(parts):
+            fps = np.unique(np.concatenate(parts))
+            return forest(fps.view(np.uint64), bits) if len(fps) > 1 else []
 
-        mask = key = None
-        parts, size, over, out = [], 0, False, []
+        at, parts, out = None, [], []
         for batch in batches:
             ms, ks, fs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "key", "fp"))
             if not len(ks):
                 continue
             edge = np.flatnonzero((ks[1:] != ks[:-1]) | (ms[1:] != ms[:-1])) + 1
             bounds = np.concatenate(([0], edge, [len(ks)]))
-            many = np.flatnonzero(np.diff(bounds) > 1)
             # runs of one row in the middle of a batch link nothing
-            for r in sorted({0, len(bounds) - 2, *many.tolist()}):
+            for r in sorted({0, len(bounds) - 2, *np.flatnonzero(np.diff(bounds) > 1).tolist()}):
                 a, b = int(bounds[r]), int(bounds[r + 1])
-                if (ms[a], ks[a]) != (mask, key):
-                    out += close(mask, key, parts, size, over)
-                    mask, key, parts, size, over = ms[a], ks[a], [], 0, False
+                if (ms[a], ks[a]) != at:
+                    out += close(parts) if parts else []
+                    at, parts = (ms[a], ks[a]), []
                 parts.append(fs[a:b])
-                size += b - a
-                if size > largest:
-                    over = True
-                if over:  # pass its rows on
-                    out += [(int(x), int(key), int(mask)) for p in parts for x in p]
-                    parts = []
                 if len(out) > 20_000:
                     yield rows(out)
                     out = []
-        out += close(mask, key, parts, size, over)
+        out += close(parts) if parts else []
         yield rows(out)
 
-    parts = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-    return parts.mapInArrow(run, "u long, v long, mask long")
+    return in_runs(dealt, ["mask", "key"], "fp").mapInArrow(run, "u long, v long")
 
 
 def links(nodes: DataFrame, bits: int = BITS, largest: int = LARGEST) -> DataFrame:
-    """Links (u, v) between distinct fingerprints ``nodes`` (fp) with the components of all pairs within ``bits``."""
-    masks = key_masks(bits)
-    dealt = nodes.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    """Links (u, v) between distinct fingerprints ``nodes`` (fp) with the components of all pairs within ``bits``.
+
+    The sizes of keys come from an aggregate; rows of a key over ``largest`` go to the finer masks without ever meeting in one task.
+    """
+    dealt = nodes.select("fp", F.explode(F.array(*map(F.lit, key_masks(bits)))).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     out = None
     while True:
-        found = materialise(_linked(dealt, bits, largest), "links")
-        part = found.where(F.col("mask").isNull()).select("u", "v")
-        out = part if out is None else out.union(part)
-        over = found.where(F.col("mask").isNotNull())
-        wide = [r.mask for r in over.select("mask").distinct().collect()]  # a few hundred masks at most
-        if not wide:
+        wide = materialise(dealt.groupBy("mask", "key").count().where(F.col("count") > largest).select("mask", "key", F.lit(True).alias("wide")), "wide")
+        masks = [r.mask for r in wide.select("mask").distinct().collect()]  # a few hundred masks at most
+        marked = dimension_join(dealt, wide, ["mask", "key"], "left", F.col("fp")) if masks else dealt.withColumn("wide", F.lit(None).cast("boolean"))
+        found = materialise(_linked(marked.where(F.col("wide").isNull()).select("mask", "key", "fp"), bits), "links")
+        out = found if out is None else out.union(found)
+        if not masks:
             return out
-        finer = F.create_map(*[x for m in wide for x in (F.lit(m), F.array(*map(F.lit, finer_masks(m, bits))))])
-        dealt = over.select(F.col("u").alias("fp"), F.explode(finer[F.col("mask")]).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct()
+        finer = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*map(F.lit, finer_masks(m, bits))))])
+        over = marked.where("wide").select("fp", F.explode(finer[F.col("mask")]).alias("mask"))
+        dealt = materialise(over.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct(), "finer")
 
 
 def classes(marked: DataFrame, bits: int = BITS, largest: int = LARGEST, node_class: str | None = None) -> DataFrame:
@@ -204,8 +197,10 @@ def classes(marked: DataFrame, bits: int = BITS, largest: int = LARGEST, node_cl
     roots = materialise(connected_components(links(nodes.select("fp"), bits, largest)), "roots")
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("_least").alias("component_id"))
-    moved = joined.join(least, "root").select("fp", "component_id", *[F.col("root").alias(c) for c in (node_class,) if c])
-    return marked.join(moved, "fp", "left")
+    named = dimension_join(joined, least, ["root"], "inner", F.col("fp"))
+    moved = materialise(named.select("fp", "component_id", *[F.col("root").alias(c) for c in (node_class,) if c]), "classes")
+    # a fingerprint may be that of a third of all rows
+    return dimension_join(marked, moved, ["fp"], "left", F.col("doc_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: int = BITS) -> DataFrame:
@@ -215,8 +210,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: i
     return classes(marked, bits).select("doc_id", hexed, "component_id")
 
 
-def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: int = BITS) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with one row of each class: that of the smallest doc_id, nulls last, then of the smallest text hash."""
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bits: int = BITS, similarity: float | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one row of each class: that of the smallest doc_id, nulls last, then of the smallest text hash.
+
+    Classes are those of ``near_duplicates``; with ``similarity`` those of texts whose shingles of ``shingles.SHINGLE_WORDS`` words have that
+    Jaccard similarity, to which fingerprints give the first candidates (see ``shingles``).
+    """
+    if similarity is not None:
+        from vellum.llm import shingles
+
+        if (similarity, shingle_words) != (shingles.SIMILARITY, shingles.SHINGLE_WORDS):
+            raise ValueError(f"the bands are made for a similarity of {shingles.SIMILARITY} over shingles of {shingles.SHINGLE_WORDS} words")
+        return keep_first(docs, shingles.classes(docs, materialise(shingles.mark(docs), "shingles")))
     marked = materialise(fingerprints(docs, shingle_words, text_hash=True), "fingerprints")
     return keep_first(docs, classes(marked, bits, node_class="class").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "class"))
 
