@@ -1,19 +1,25 @@
-"""Personal data: fixed patterns, and information-theoretic sanitisation of the terms around them.
+"""Personal data: fixed patterns, and information-theoretic sanitisation of the terms that give it away.
 
-Emails, IP addresses, card and phone numbers are found by pattern in whole texts; each value is a protected entity. Terms that stand
-near an entity may give it away. How much they do is estimated from the corpus: with N documents, the information of an entity e is
-IC(e) = -log2 p(e), and a term t reveals the share
+Emails, IP addresses, card and phone numbers are found by pattern in whole texts. Each value is a protected entity, and so is the class that it
+belongs to, which pools values that are seen once: an email's domain, the first two parts of an address, the first six digits of a card,
+the first four of a phone number. How much a term t tells of an entity e is estimated from the corpus: with N distinct
+texts, c(e) and c(t) of which hold either and c(e, t) of which hold both, e has the information IC(e) = -log2 p(e), p(e) = c(e) / N, and t reveals the share
 
-    PMI(e; t) / IC(e) = log2(p(e, t) / (p(e) p(t))) / IC(e)
+    log2(p(e | t) / p(e)) / IC(e),    p(e | t) = (c(e, t) + PRIOR p(e)) / (c(t) + PRIOR)
 
-of it, 1 if t occurs only where e does. Terms that reveal ``REMOVE`` or more are removed, those that reveal ``GENERALISE`` or more are
-generalised, in every mention of that entity. A pair of entity and term counts if it is seen in ``SUPPORT`` different contexts at least:
-equal surroundings, as copies of a document have them, are one piece of evidence, and a value that is seen once gives no estimate.
+of it: near 1 if t occurs only where e does, and shrunk towards nothing where little is seen. Terms that reveal ``REMOVE`` or more are
+removed, those that reveal ``GENERALISE`` or more are generalised to the class of their form (a name, an acronym, a word).
+A pair counts if ``SUPPORT`` texts hold it, in two different surroundings of the entity at least.
 
-Counts run over all documents. Only slots of a hash table of fixed size come to the driver, to pick the terms whose document
-frequency is needed; a slot shared by chance costs a few counted terms more and changes no result.
+All four counts have one unit, the distinct text, so copies of documents change none. A mention of a term meets the entities before and after it at
+any distance, and all within ``CONTEXT_CHARS`` of it, which is linear in the text; if one of them is revealed, every mention of the term in the
+text is hidden.
 
-Defined results: a null text is empty and has no spans; repeated rows get the same spans each; a null id is kept; extra columns are
+Only slots of hash tables of fixed size come to the driver, to pick the entities, terms and pairs that are counted or spelled out; a slot
+shared by chance costs a few rows more and changes no result.
+
+Defined results: a null text is empty and has no spans; repeated rows get the same spans each; a null id is kept; very long texts, runs of digits
+and lists of addresses take time in proportion to their length; of equal starts the base span comes first; an empty table gives no rows; extra columns are
 ignored, or kept by ``sanitise``. Spans are code points, end exclusive.
 """
 
@@ -22,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -29,20 +36,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise, slices
+from vellum.llm.common import dimension_join, materialise, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT_CHARS = 80
 SUPPORT = 3
+#: Texts without the entity's mark that each term is taken to have been seen in besides, at the entity's base rate.
+PRIOR = 8.0
 GENERALISE, REMOVE = 0.6, 0.85
 SLOTS = 1 << 20
-#: Documents with term spans up to which they are broadcast to the texts.
-BROADCAST_ROWS = 100_000
 
 #: The parts of the patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match begins at the first digit of a run and takes whole runs, so nothing is tried twice.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -95,122 +103,236 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], chars: int = CONTEXT_CHARS) -> list[tuple[str, list[tuple[str, int, int]], str]]:
-    """For each base span its entity, the (term, start, end) near it, and the text of its surroundings. Terms inside base spans and such as the window cuts don't count."""
+def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str]]:
+    """The protected value of each base span, and its class."""
     out = []
     for a, k, b in spans:
-        value = text[a:b].lower() if k == 0 else re.sub(r"[^0-9.]" if k == 1 else r"[^0-9]", "", text[a:b])
-        lo, hi, terms = max(0, a - chars), min(len(text), b + chars), []
-        for m in _TERM.finditer(text, lo, hi):
-            s, e = m.span()
-            cut = (s == lo and s > 0 and text[s - 1].isalpha()) or (e == hi and e < len(text) and text[e].isalpha())
-            if not cut and all(e <= x or s >= y for x, _, y in spans):
-                terms.append((m.group().lower(), s, e))
-        out.append((f"{KINDS[k]}:{value}", terms, f"{text[lo:a]}\0{text[b:hi]}"))
+        kind = KINDS[k]
+        if k == 0:
+            value = text[a:b].lower()
+            pooled = value[value.rindex("@") :]
+        elif k == 1:
+            value = text[a:b]
+            pooled = ".".join(value.split(".")[:2]) + "."
+        else:
+            value = re.sub(r"[^0-9]", "", text[a:b])
+            pooled = value[: 6 if k == 2 else 4] + "*"
+        out.append((f"{kind}:{value}", f"{kind}:{pooled}"))
     return out
 
 
+def mentions(text: str, spans: list[tuple[int, int, int]], chars: int = CONTEXT_CHARS):
+    """(term, start, end, numbers of the spans that it meets) of each term outside the base spans."""
+    starts = [a for a, _, _ in spans]
+    ends = list(starts)  # the furthest end so far, as spans of different kinds may overlap
+    far = 0
+    for i, (_, _, b) in enumerate(spans):
+        far = ends[i] = max(far, b)
+    for m in _TERM.finditer(text):
+        s, e = m.span()
+        i = bisect_left(starts, e)  # the first span that begins at the term's end or later
+        if i and ends[i - 1] > s:
+            continue
+        lo, hi = i - 1, i + 1
+        while lo > 0 and ends[lo - 1] >= s - chars:
+            lo -= 1
+        while hi < len(spans) and starts[hi] <= e + chars:
+            hi += 1
+        yield m.group().lower(), s, e, range(max(lo, 0), min(hi, len(spans)))
+
+
+def surroundings(text: str, span: tuple[int, int, int], chars: int = CONTEXT_CHARS) -> int:
+    a, _, b = span
+    near = f"{text[max(0, a - chars) : a]}\0{text[b : b + chars]}"
+    return int.from_bytes(hashlib.blake2b(near.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 _SPAN = "struct<start:int,kind:int,end:int>"
-_MENTION = "struct<entity:string,evidence:long,term:string,start:int,end:int>"
-_FOUND = f"doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{_SPAN}>, mentions array<{_MENTION}>"
+_FOUND = f"doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{_SPAN}>, entities array<string>"
 
 
 def _find(batches):
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    mention = pa.list_(pa.struct([("entity", pa.string()), ("evidence", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     nothing = hashlib.sha256(b"").hexdigest()
     for batch in slices(batches):
-        counts, digests, bases, mentions = [[], [], [], []], [], [], []
+        counts, digests, bases, entities = [[], [], [], []], [], [], []
         for text in batch.column("text").to_pylist():
             spans = find_base(text) if text else []
             for k in range(4):
                 counts[k].append(sum(s[1] == k for s in spans))
             digests.append(hashlib.sha256(spelled(spans).encode()).hexdigest() if spans else nothing)
             bases.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-            rows = []
-            if spans:
-                found = contexts(text, spans)
-                around: dict[str, set[str]] = {}
-                for entity, _, near in found:
-                    around.setdefault(entity, set()).add(near)
-                evidence = {e: int.from_bytes(hashlib.blake2b("\1".join(sorted(x)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for e, x in around.items()}
-                rows = [{"entity": e, "evidence": evidence[e], "term": t, "start": s, "end": z} for e, terms, _ in found for t, s, z in terms]
-            mentions.append(rows)
+            entities.append(sorted({e for pair in entities_of(text, spans) for e in pair}) if spans else [])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(bases, span), pa.array(mentions, mention)],
-            ["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "mentions"],
+            [batch.column("doc_id"), batch.column("text_hash"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(bases, span), pa.array(entities, pa.list_(pa.string()))],
+            ["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities"],
         )
 
 
-def _term_slot(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % SLOTS
+def slot_of(key: str) -> int:
+    return zlib.crc32(key.encode("utf-8", "surrogatepass")) % SLOTS
+
+
+def _pair_key(entity: str, term: str) -> str:
+    return f"{entity}\0{term}"
+
+
+class Slots:
+    """A set of slots as bits, to be shipped to workers; its size is fixed."""
 
+    def __init__(self, slots: list[int]):
+        marks = np.zeros(SLOTS, bool)
+        marks[slots] = True
+        self.bits = np.packbits(marks).tobytes()
 
-def document_frequencies(docs: DataFrame, slots: list[int]) -> DataFrame:
-    """(term, df): in how many rows of ``docs`` a term of one of the ``slots`` occurs. At most ``SLOTS`` slots are shipped."""
-    wanted = np.zeros(SLOTS, bool)
-    wanted[slots] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    def __contains__(self, key: str) -> bool:
+        s = slot_of(key)
+        return bool(self.bits[s >> 3] >> (7 - (s & 7)) & 1)
+
+
+def _slots(df: DataFrame, key: Column):
+    """The slots of ``key`` as a broadcast, ``SLOTS`` rows of the driver at most; None without any."""
+    slot = F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(SLOTS)).cast("int")
+    found = [r.s for r in df.select(slot.alias("s")).distinct().collect()]
+    return df.sparkSession.sparkContext.broadcast(Slots(found)) if found else None
+
+
+def _counted(tally: Counter, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*[(*k, n) for k, n in tally.items()], strict=True)) if tally else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+
+def document_frequencies(rows: DataFrame, slots) -> DataFrame:
+    """(term, df): how many distinct texts of ``rows`` (text, copies) hold a term of one of the ``slots``."""
 
     def run(batches):
-        have = np.unpackbits(shared.value).astype(bool)
-        known: dict[str, bool] = {}
+        wanted, known = slots.value, {}
         for batch in batches:
             seen = Counter()
             for part in slices([batch]):
-                for text in part.column("text").to_pylist():
+                for text, copies in zip(part.column("text").to_pylist(), part.column("copies").to_pylist(), strict=True):
                     for t in {t.lower() for t in set(_TERM.findall(text or ""))}:
                         good = known.get(t)
                         if good is None:
                             if len(known) > 200_000:
                                 known.clear()
-                            good = known[t] = bool(have[_term_slot(t)])
+                            good = known[t] = t in wanted
                         if good:
-                            seen[t] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-
-    return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
-
-
-def rules(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, share): the terms that reveal ``generalise`` or more of an entity."""
-    spark = docs.sparkSession
-    pairs = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.term", "m.evidence").distinct()
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("c_et")).where(F.col("c_et") >= support)
-    joint = materialise(joint, "pairs")
-    slot = F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(SLOTS)).cast("int")
-    slots = [r.s for r in joint.select(slot.alias("s")).distinct().collect()]  # SLOTS rows at most
-    if not slots:
-        return spark.createDataFrame([], "entity string, term string, share double")
-    n = docs.count()
-    single = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.evidence").distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
-    all_counts = joint.join(single, "entity").join(document_frequencies(docs, slots), "term")
-    information = F.log2(F.lit(float(max(n, 2))) / F.col("c_e"))
-    pmi = F.log2(F.col("c_et") * F.lit(float(n)) / (F.col("c_e") * F.greatest("df", "c_et")))
-    share = F.when(information > 0, pmi / information)
-    return all_counts.withColumn("share", share).where(F.col("share") >= generalise).select("entity", "term", "share")
-
-
-def analyse(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame]:
-    """The base spans of every row of ``docs`` (doc_id, text), and (doc_id, text_hash, terms) of the rows with terms to be hidden.
-
-    ``terms`` is an array of (start, kind, end, removed), sorted. Rows of one id and text share it.
+                            seen[t, copies] += 1
+            yield _counted(seen, ["term", "copies", "n"], [pa.string(), pa.int64(), pa.int64()])
+
+    found = rows.select("text", "copies").mapInArrow(run, "term string, copies long, n long")
+    return _texts(found, ["term"], "df")
+
+
+def _texts(counted: DataFrame, keys: list[str], name: str, *more: Column) -> DataFrame:
+    """Distinct texts by ``keys``: rows of a text that there are ``copies`` of count 1 / copies, and whole texts only ever add up."""
+    once = counted.groupBy(*keys, "copies").agg(F.sum("n").alias("n"), *more)
+    kept = [F.min("lo").alias("lo"), F.max("hi").alias("hi")] if more else []
+    return once.groupBy(*keys).agg(F.sum(F.expr("n div copies")).alias(name), *kept)
+
+
+def entity_pairs(rows: DataFrame, slots) -> DataFrame:
+    """(entity, term, c_et, lo, hi) of entities of one of the ``slots`` in ``rows`` (text, copies); lo and hi are the least and largest hash of the entity's surroundings."""
+
+    def run(batches):
+        wanted = slots.value
+        for batch in slices(batches, 128):
+            tally: dict[tuple[str, str, int], list[int]] = {}
+            for text, copies in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist(), strict=True):
+                spans = find_base(text) if text else []
+                known = [[e for e in both if e in wanted] for both in entities_of(text, spans)] if spans else []
+                if not any(known):
+                    continue
+                near: dict[str, int] = {}
+                for span, own in zip(spans, known, strict=True):
+                    for e in own:
+                        if e not in near:
+                            near[e] = surroundings(text, span)
+                for e, t in {(e, t) for t, _, _, met in mentions(text, spans) for i in met for e in known[i]}:
+                    have = tally.setdefault((e, t, copies), [0, near[e], near[e]])
+                    have[0] += 1
+                    have[1], have[2] = min(have[1], near[e]), max(have[2], near[e])
+            cols = list(zip(*[(*k, *v) for k, v in tally.items()], strict=True)) if tally else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), *[pa.int64()] * 4], strict=True)], ["entity", "term", "copies", "n", "lo", "hi"])
+
+    found = rows.select("text", "copies").mapInArrow(run, "entity string, term string, copies long, n long, lo long, hi long")
+    return _texts(found, ["entity", "term"], "c_et", F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def share_column(n: int) -> Column:
+    """The share of an entity's information that a term reveals, from c_e, c_et and df among ``n`` texts."""
+    p = F.col("c_e") / F.lit(float(max(n, 2)))
+    told = (F.col("c_et") + PRIOR * p) / (F.greatest("df", "c_et") + PRIOR)
+    return F.when(p < 1, F.log2(told / p) / -F.log2(p))
+
+
+def rules(rows: DataFrame, found: DataFrame, n: int, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame | None:
+    """(entity, term, share): the terms that reveal ``generalise`` or more of an entity; None if no entity or pair has support. ``rows``: text, copies; ``found``: entities, copies; ``n`` distinct texts."""
+    held = found.where(F.size("entities") > 0).select("copies", F.explode("entities").alias("entity"))
+    single = _texts(held.withColumn("n", F.lit(1)), ["entity"], "c_e").where(F.col("c_e") >= support)
+    single = materialise(single, "entities")  # no pair has more support than its entity
+    wanted = _slots(single, F.col("entity"))
+    if wanted is None:
+        return None
+    pairs = entity_pairs(rows, wanted).where((F.col("c_et") >= support) & (F.col("lo") < F.col("hi")))
+    joint = materialise(pairs.join(single, "entity").select("entity", "term", "c_et", "c_e"), "pairs")
+    wanted = _slots(joint, F.col("term"))
+    if wanted is None:
+        return None
+    counted = joint.join(document_frequencies(rows, wanted), "term").withColumn("share", share_column(n))
+    return materialise(counted.where(F.col("share") >= generalise).select("entity", "term", "share"), "rules")
+
+
+def hidden_mentions(rows: DataFrame, told: DataFrame, remove: float = REMOVE) -> DataFrame:
+    """(text_hash, terms) of the texts with terms to be hidden by the rules ``told``."""
+    slots = _slots(told, F.concat("entity", F.lit("\0"), "term"))
+    if slots is None:
+        return rows.sparkSession.createDataFrame([], "text_hash long, terms array<struct<start:int,kind:int,end:int,removed:boolean>>")
+
+    def run(batches):
+        wanted, names = slots.value, ["text_hash", "entity", "term", "starts", "ends"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        for batch in slices(batches, 128):
+            out = []
+            for text, key in zip(batch.column("text").to_pylist(), batch.column("text_hash").to_pylist(), strict=True):
+                spans = find_base(text) if text else []
+                if not spans:
+                    continue
+                known, places, met = entities_of(text, spans), {}, {}
+                for t, s, e, near in mentions(text, spans):
+                    places.setdefault(t, []).append((s, e))
+                    met.setdefault(t, set()).update(e for i in near for e in known[i])
+                for t, es in met.items():
+                    good = [e for e in es if _pair_key(e, t) in wanted]
+                    if good:
+                        a, b = zip(*places[t], strict=True)
+                        out += [(key, e, t, a, b) for e in good]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names)
+
+    found = rows.select("text", "text_hash").mapInArrow(run, "text_hash long, entity string, term string, starts array<int>, ends array<int>")
+    hit = dimension_join(found, told, ["entity", "term"], "inner", F.col("text_hash"))
+    once = hit.groupBy("text_hash", "term").agg(F.max("share").alias("share"), F.min(F.struct("starts", "ends")).alias("at"))
+    spans = F.zip_with("at.starts", "at.ends", lambda a, b: F.struct(a.alias("start"), F.lit(4).alias("kind"), b.alias("end"), (F.col("share") >= remove).alias("removed")))
+    return materialise(once.groupBy("text_hash").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("terms")), "terms")
+
+
+def analyse(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> tuple[DataFrame, DataFrame | None]:
+    """The base spans of every row of ``docs`` (doc_id, text), and (text_hash, terms) of the texts with terms to be hidden, None without any.
+
+    ``terms`` is an array of (start, kind, end, removed), sorted. Rows of one text share it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     found = materialise(rows.mapInArrow(_find, _FOUND), "spans")
-    told = rules(docs, found, support, generalise)
-    mentions = found.where(F.size("mentions") > 0).select("doc_id", "text_hash", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.entity", "m.term", "m.start", "m.end")
-    hidden = mentions.join(told, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("share").alias("share"))
-    span = F.struct("start", F.lit(4).alias("kind"), "end", (F.col("share") >= remove).alias("removed"))
-    terms = hidden.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("terms"))
-    return found, materialise(terms, "terms")
+    copies = materialise(found.groupBy("text_hash").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
 
+    def with_copies(df: DataFrame) -> DataFrame:
+        joined = dimension_join(df, copies, ["text_hash"], "left", F.col("doc_id"))
+        return joined.withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
 
-def _joined(left: DataFrame, terms: DataFrame) -> DataFrame:
-    t = terms.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "terms")
-    if terms.count() <= BROADCAST_ROWS:
-        t = F.broadcast(t)
-    return left.join(t, left["doc_id"].eqNullSafe(F.col("_id")) & (left["text_hash"] == F.col("_h")), "left").drop("_id", "_h")
+    n = found.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    told = rules(with_copies(rows), with_copies(found.select("doc_id", "text_hash", "entities")), n, support, generalise)
+    return found, None if told is None else hidden_mentions(rows, told, remove)
 
 
 def spelled_column(spans: Column) -> Column:
@@ -218,11 +340,19 @@ def spelled_column(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat(name[s["kind"]], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
+def _with_terms(rows: DataFrame, terms: DataFrame | None, key: str) -> DataFrame:
+    """``rows`` with the ``terms`` of their text, whose hash is the column ``key``, as ``__pii_terms``."""
+    if terms is None:
+        return rows.withColumn("__pii_terms", F.lit(None).cast("array<struct<start:int,kind:int,end:int,removed:boolean>>"))
+    named = terms.select(F.col("text_hash").alias(key), F.col("terms").alias("__pii_terms"))
+    return dimension_join(rows, named, [key], "left", F.col("doc_id"), F.size("__pii_terms"))
+
+
 def personal_data(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs``."""
     found, terms = analyse(docs, **options)
-    added = F.coalesce(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))), F.array().cast(f"array<{_SPAN}>"))
-    joined = _joined(found.drop("mentions"), terms)
+    joined = _with_terms(found.drop("entities"), terms, "text_hash")
+    added = F.coalesce(F.transform("__pii_terms", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))), F.array().cast(f"array<{_SPAN}>"))
     return joined.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spelled_column(F.concat("base", added)).alias("spans"))
 
 
@@ -236,14 +366,25 @@ def mask(text: str, hidden: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
+def form_class(term: str) -> str:
+    """The class that a generalised term is replaced by."""
+    return "[ACRONYM]" if term.isupper() else "[NAME]" if term[:1].isupper() else "[WORD]"
+
+
+def clean_text(text: str, terms: list[tuple[int, int, bool]]) -> str:
+    """``text`` with its base spans as their kinds and its ``terms`` (start, end, removed) hidden; what becomes personal data by that, as digits that a removed term kept apart, is replaced too."""
+    hidden = [(a, b, "" if removed else form_class(text[a:b])) for a, b, removed in terms]
+    while True:
+        hidden += [(a, b, f"[{KINDS[k].upper()}]") for a, k, b in find_base(text)]
+        if not hidden:
+            return text
+        text, hidden = mask(text, hidden), []
+
+
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with base spans replaced by their kind, as ``[EMAIL]``, generalised terms by ``[TERM]``, and removed terms gone. ``n_chars``, if there, follows the text."""
+    """``docs`` with base spans replaced by their kind, as ``[EMAIL]``, generalised terms by the class of their form, as ``[NAME]``, and removed terms gone. ``n_chars``, if there, follows the text."""
     _, terms = analyse(docs, **options)
-    keyed = docs.withColumns({"__pii_doc": F.col("doc_id").cast("long"), "__pii_hash": F.xxhash64("text")})
-    t = terms.select(F.col("doc_id").alias("__pii_id"), F.col("text_hash").alias("__pii_h"), F.col("terms").alias("__pii_terms"))
-    if terms.count() <= BROADCAST_ROWS:
-        t = F.broadcast(t)
-    joined = keyed.join(t, F.col("__pii_doc").eqNullSafe(F.col("__pii_id")) & (F.col("__pii_hash") == F.col("__pii_h")), "left").select(*docs.columns, "__pii_terms")
+    joined = _with_terms(docs.withColumn("__pii_hash", F.xxhash64("text")), terms, "__pii_hash").select(*docs.columns, "__pii_terms")
     names, schema = docs.columns, docs.schema
     has_length = "n_chars" in names
 
@@ -251,12 +392,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
         for batch in slices(batches):
             texts = []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("__pii_terms").to_pylist(), strict=True):
-                if text:
-                    hidden = [(a, b, f"[{KINDS[k].upper()}]") for a, k, b in find_base(text)]
-                    hidden += [(s["start"], s["end"], "" if s["removed"] else "[TERM]") for s in found or ()]
-                    if hidden:
-                        text = mask(text, hidden)
-                texts.append(text)
+                texts.append(clean_text(text, [(s["start"], s["end"], s["removed"]) for s in found or ()]) if text else text)
             cols = {c: batch.column(c) for c in names}
             cols["text"] = pa.array(texts, pa.string())
             if has_length:
