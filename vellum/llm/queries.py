@@ -90,21 +90,28 @@ _REPEATS_SQL = r"""
 _TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[[:punct:]]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 
-def _seeds_sql(key: str, rows: str) -> str:
-    """The masked windows of ``rows`` (key, toks), spelled out."""
+def _seeds_sql(key: str, rows: str, items: bool) -> str:
+    """The masked windows of ``rows`` (key, toks), spelled out, with those of the short items' lengths."""
+    least, alone = decontamination.MIN_TOKENS, decontamination.SHORT_ALONE
+    masks = [(m, mask, f"len(toks) >= {least}" if items else "true") for m, mask in enumerate(decontamination.MASKS)]
+    masks += [(-n, "1" * n, f"len(toks) = {n}" if items or n < alone else "true") for n in range(1, least)]
     parts = []
-    for m, mask in enumerate(decontamination.MASKS):
+    for m, mask, when in masks:
         used = [f"toks[pos + {i + 1}]" for i, c in enumerate(mask) if c == "1"]
-        parts.append(f"SELECT {key}, pos, {m} AS m, {' || chr(10) || '.join(used)} AS seed FROM (SELECT {key}, toks, unnest(range(len(toks))) AS pos FROM {rows}) WHERE {used[-1]} IS NOT NULL")
+        parts.append(f"SELECT {key}, pos, {m} AS m, {' || chr(10) || '.join(used)} AS seed FROM (SELECT {key}, toks, unnest(range(len(toks))) AS pos FROM {rows} WHERE {when}) WHERE {used[-1]} IS NOT NULL")
     return " UNION ALL ".join(parts)
 
 
+_WHOLE = f"n_equal >= {decontamination.MIN_TOKENS} AND n_equal >= {decontamination.MIN_SHARE} * n_tokens"
+_DENSE = f"n_tokens > {decontamination.STRETCH} AND stretch >= {decontamination.MIN_STRETCH}"
+_EXACT = f"n_tokens < {decontamination.MIN_TOKENS} AND n_equal = n_tokens AND (n_tokens >= {decontamination.SHORT_ALONE} OR n_text = n_tokens)"
 _OVERLAPS_SQL = f"""
-    WITH d AS (SELECT doc_id, {_TOKENS} AS toks FROM documents), b AS (SELECT item_id, {_TOKENS} AS toks FROM benchmark), i AS (SELECT * FROM b WHERE len(toks) >= {decontamination.MIN_TOKENS}),
-    hits AS (SELECT DISTINCT x.doc_id, y.item_id, x.pos - y.pos AS doc_start FROM ({_seeds_sql("doc_id", "d")}) x JOIN ({_seeds_sql("item_id", "i")}) y USING (m, seed)),
-    v AS (SELECT h.*, len(list_filter(range(len(i.toks)), lambda j: h.doc_start + j >= 0 AND d.toks[greatest(h.doc_start + j, 0) + 1] = i.toks[j + 1])) AS n_equal, len(i.toks) AS n_tokens FROM hits h JOIN d USING (doc_id) JOIN i USING (item_id)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, doc_start) AS k FROM v WHERE n_equal >= {decontamination.MIN_TOKENS} AND n_equal >= {decontamination.MIN_SHARE} * n_tokens)
-    SELECT doc_id, item_id, CAST(n_equal AS BIGINT) AS n_equal, CAST(n_tokens AS BIGINT) AS n_tokens, round(n_equal / n_tokens, 4) AS share, CAST(doc_start AS BIGINT) AS doc_start FROM r WHERE k = 1
+    WITH d AS (SELECT doc_id, {_TOKENS} AS toks FROM documents), i AS (SELECT item_id, {_TOKENS} AS toks FROM benchmark),
+    hits AS (SELECT DISTINCT x.doc_id, y.item_id, x.pos - y.pos AS doc_start FROM ({_seeds_sql("doc_id", "d", False)}) x JOIN ({_seeds_sql("item_id", "i", True)}) y USING (m, seed)),
+    e AS (SELECT h.*, list_filter(range(len(i.toks)), lambda j: h.doc_start + j >= 0 AND d.toks[greatest(h.doc_start + j, 0) + 1] = i.toks[j + 1]) AS equal, len(i.toks) AS n_tokens, len(d.toks) AS n_text FROM hits h JOIN d USING (doc_id) JOIN i USING (item_id)),
+    v AS (SELECT *, len(equal) AS n_equal, list_max(list_transform(range(n_tokens), lambda j: len(list_filter(equal, lambda x: x >= j AND x < j + {decontamination.STRETCH})))) AS stretch FROM e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, doc_start) AS k FROM v WHERE ({_WHOLE}) OR ({_DENSE}) OR ({_EXACT}))
+    SELECT doc_id, item_id, CAST(n_equal AS BIGINT) AS n_equal, CAST(n_tokens AS BIGINT) AS n_tokens, round(n_equal / n_tokens, 4) AS share, CAST(stretch AS BIGINT) AS stretch, CAST(doc_start AS BIGINT) AS doc_start FROM r WHERE k = 1
 """
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_exact_topk, op4_toxicity, op5_substring_dedup, op6_personal_data, op7_decontamination, op8_chat_formatting, op9_simhash_near_dedup, op10_sharding)}
