@@ -9,12 +9,13 @@ that the output holds every turn. A turn is written
 and control strings inside roles and texts, these and those of ``CONTROL``, get a backslash after their first character,
 one more where backslashes stand there already; so escaping is undone exactly.
 
-Rows are sorted within partitions by conversation and turn and streamed, so that no conversation is ever gathered. A
-conversation's context is repeated in each of its examples up to ``FULL_CHARS`` characters; beyond them a row's text goes on
-after that of an earlier row (``after``), which keeps very long conversations linear and drops nothing.
+Rows are sorted within partitions by conversation and turn and streamed, so that no conversation is ever gathered; of
+a conversation only the turns so far are held, which every example repeats. So the output grows with the square of a conversation's
+turns, as the method has it, and with the number of conversations; no context is cut at any length.
 
 Defined results: a null text is empty, a null role an empty role; rows of one turn number are taken in order of role and text,
-null turns first; rows with a null conv_id are one conversation; repeated rows are repeated turns; an empty table gives no rows.
+null turns first; rows with a null conv_id are one conversation; repeated rows are repeated turns; very long texts are whole turns like any other;
+extra columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,17 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import in_runs
+
 #: Control strings of common chat templates, besides those that begin with "<|".
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 BEGIN, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
-FULL_CHARS = 1_000_000
 
 _REST = "|".join([r"\|", *(re.escape(c[1:]) for c in CONTROL)])
 _PLAIN = re.compile(rf"([<\[])(\\*)({_REST})")
 _ESCAPED = re.compile(rf"([<\[])\\(\\*)({_REST})")
 _TURN = re.compile(re.escape(BEGIN) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END), re.S)
 
-EXAMPLES = "conv_id long, example int, after int, target int, text string, loss_start long, loss_end long"
+EXAMPLES = "conv_id long, example int, target int, text string, loss_start long, loss_end long"
 
 
 def escape(text: str) -> str:
@@ -70,25 +72,23 @@ def _conversation_rows(batches):
         yield None
 
 
-def expand(rows, full_chars: int = FULL_CHARS):
+def expand(rows):
     """Example rows of a stream as ``_conversation_rows`` gives."""
-    conv, prefix, number, after, turn, pending = None, "", 0, 0, 0, False
+    conv, turns, size, number, pending = None, [], 0, 0, False
     for row in rows:
         if row is None:
             if pending:
-                yield conv, number + 1, after, None, prefix, None, None
-            prefix, number, after, turn, pending = "", 0, 0, 0, False
+                yield conv, number + 1, None, "".join(turns), None, None
+            turns, size, number, pending = [], 0, 0, False
             continue
         conv, role, text = row
         piece, a, b = render(role, text)
-        at, prefix, turn, pending = len(prefix), prefix + piece, turn + 1, True
-        target = role == "assistant"
-        if target or len(prefix) > full_chars:
+        turns.append(piece)
+        pending = role != "assistant"
+        if not pending:
             number += 1
-            yield (conv, number, after, turn - 1, prefix, at + a, at + b) if target else (conv, number, after, None, prefix, None, None)
-            pending = False
-            if len(prefix) > full_chars:
-                prefix, after = "", number
+            yield conv, number, len(turns) - 1, "".join(turns), size + a, size + b
+        size += len(piece)
 
 
 def _record_batches(rows, schema: pa.Schema, most: int = 1 << 22):
@@ -103,49 +103,38 @@ def _record_batches(rows, schema: pa.Schema, most: int = 1 << 22):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def _schema(*fields) -> pa.Schema:
-    return pa.schema(list(fields))
-
-
-def format_examples(conversations: DataFrame, full_chars: int = FULL_CHARS) -> DataFrame:
+def format_examples(conversations: DataFrame) -> DataFrame:
     """Examples of ``conversations`` (conv_id, turn, role, text), see ``EXAMPLES``; in order within partitions.
 
-    ``target`` is the place of the trainable turn in its conversation, from 0, null in a row without; ``loss_start`` and
-    ``loss_end`` are code points of ``text``.
+    ``text`` holds all turns up to the target. ``target`` is the place of the trainable turn in its conversation, from 0, null in a row without;
+    ``loss_start`` and ``loss_end`` are code points of ``text``.
     """
-    schema = _schema(*((n, t) for n, t in zip(("conv_id", "example", "after", "target", "text", "loss_start", "loss_end"), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)))
+    schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int32()), ("target", pa.int32()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
     def run(batches):
-        yield from _record_batches(expand(_conversation_rows(batches), full_chars), schema)
+        yield from _record_batches(expand(_conversation_rows(batches)), schema)
 
     rows = conversations.select(F.col("conv_id").cast("long"), "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, EXAMPLES)
+    return in_runs(rows, ["conv_id"], "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, EXAMPLES)
 
 
 def digest(rows):
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of examples (conv_id, after, text, loss_start, loss_end) in order."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of examples (conv_id, example, text, loss_start, loss_end) in order."""
 
     def close():
-        n, h = fold(base_n, base_h.copy(), last)
-        return conv, n, h.hexdigest(), loss_n, loss_h.hexdigest(), chars
-
-    def fold(n, h, text):
-        for role, body in parse(text):
+        n, h = 0, hashlib.sha256()
+        for role, body in parse(last):  # the last example holds all turns
             h.update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
             n += 1
-        return n, h
+        return conv, n, h.hexdigest(), loss_n, loss_h.hexdigest(), chars
 
     begun = False
-    for row_conv, example, row_after, text, lo, hi in rows:
-        if begun and (row_conv != conv or example == 1):
+    for row_conv, example, text, lo, hi in rows:
+        if begun and example == 1:
             yield close()
             begun = False
         if not begun:
-            begun, conv, after, last = True, row_conv, 0, ""
-            base_n, base_h, loss_n, loss_h, chars = 0, hashlib.sha256(), 0, hashlib.sha256(), 0
-        if row_after != after:  # this row goes on after the one before it
-            base_n, base_h = fold(base_n, base_h, last)
-            after = row_after
+            begun, conv, loss_n, loss_h, chars = True, row_conv, 0, hashlib.sha256(), 0
         last = text
         chars += len(text)
         if lo is not None:
@@ -158,10 +147,10 @@ def digest(rows):
 
 def read_back(examples: DataFrame) -> DataFrame:
     """Digest of each conversation from its examples alone. ``examples`` must be in order within partitions, as ``format_examples`` gives them."""
-    schema = _schema(("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()))
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches):
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("conv_id", "example", "after", "text", "loss_start", "loss_end")), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("conv_id", "example", "text", "loss_start", "loss_end")), strict=True))
         yield from _record_batches(digest(rows), schema)
 
     return examples.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
