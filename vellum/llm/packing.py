@@ -9,11 +9,13 @@ complement goes through best-fit decreasing. The plan is a short list of rank ra
 its place from its rank among the pieces of its length, so placement is one lookup in a bounded table.
 
 Defined results: a null text counts as empty and yields the single id 0; a null id is kept; repeated rows
-are packed each on its own; an empty table gives no rows; other columns are ignored.
+are packed each on its own; of equal lengths the smaller (doc_id, piece, ids_crc32) comes first in its bucket; a very long text is cut into as many
+pieces as it needs; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -53,6 +55,21 @@ def _folded(text: str) -> str:
         return text
 
 
+#: The normal form and the cuts of the tokenizers that a word cache is right for.
+_NORMAL = [("NFC", None), ("Replace", ("\\s+", " ")), ("Lowercase", None)]
+_CUTS = [("Split", ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", "Removed", True)), ("ByteLevel", (False, False))]
+
+
+def splits_words(spec: str) -> bool:
+    """Whether a tokenizer (its JSON) ignores case and white space and cuts between letters and signs, so that the ids of a text are those of its words."""
+    spec = json.loads(spec)
+    normal = (spec.get("normalizer") or {}).get("normalizers", [])
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    found = [(n["type"], (n["pattern"].get("Regex"), n["content"]) if n["type"] == "Replace" else None) for n in normal]
+    made = [(c["type"], (c["pattern"].get("Regex"), c["behavior"], c["invert"]) if c["type"] == "Split" else (c.get("add_prefix_space"), c.get("use_regex"))) for c in cuts]
+    return found == _NORMAL and made == _CUTS and not spec.get("post_processor") and spec["model"].get("end_of_word_suffix") == "</w>"
+
+
 class WordCache:
     """Ids of white-space separated words, as little-endian 32-bit bytes, in two bounded generations.
 
@@ -66,6 +83,7 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.splits = splits_words(self.tokenizer.to_str())
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
@@ -128,11 +146,11 @@ def word_cache(path: str) -> WordCache:
     return _CACHES[path]
 
 
-def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False, white_space_splits: bool = True) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """One row for each piece of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, and ids if asked for.
 
-    A document's ids end in ``SEPARATOR_ID``. ``white_space_splits``: the tokenizer treats words between
-    white space one by one, so that their ids can be kept in a cache; else every text is encoded whole.
+    A document's ids end in ``SEPARATOR_ID``. Where the tokenizer's own description says that a text's ids are those of its
+    words (``splits_words``), these are kept in a cache; with any other tokenizer every text is encoded whole.
     """
 
     def pieces(batches):
@@ -144,7 +162,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids
         for part in slices(batches):
             texts = [t or "" for t in part.column("text").to_pylist()]
             out = defaultdict(list)
-            for doc_id, raw in zip(part.column("doc_id").to_pylist(), cache.ids(texts) if white_space_splits else cache.encode(texts), strict=True):
+            for doc_id, raw in zip(part.column("doc_id").to_pylist(), cache.ids(texts) if cache.splits else cache.encode(texts), strict=True):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     piece = raw[at : at + 4 * capacity]
@@ -164,26 +182,25 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids
 
 
 def exact_fill(counts: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """Lengths, at most three, that are available together and sum to ``gap``; longer ones are preferred."""
+    """Lengths, at most three, that are available together and sum to ``gap``; None only if there are none. Fewer and longer ones are preferred."""
     if counts[gap]:
         return (gap,)
     have = np.flatnonzero(counts[:gap])[::-1]
 
-    def pair(total: int, most: int) -> tuple[int, int] | None:
+    def pair(total: int, most: int, left: np.ndarray) -> tuple[int, int] | None:
+        """The first pair of ``left`` that sums to ``total``, its larger length at most ``most``."""
         a = have[(have <= most) & (2 * have >= total) & (have < total)]
-        a = a[(counts[total - a] > 0) & ((2 * a != total) | (counts[a] > 1))]
+        a = a[(left[a] > 0) & (left[total - a] > 0) & ((2 * a != total) | (left[a] > 1))]
         return (int(a[0]), total - int(a[0])) if len(a) else None
 
-    if two := pair(gap, gap - 1):
+    if two := pair(gap, gap - 1, counts):
         return two
-    for x in have[have * 3 >= gap]:
-        x = int(x)
-        counts[x] -= 1
-        two = pair(gap - x, x)
-        if two and counts[two[0]] and counts[two[1]] and (two[0] != two[1] or counts[two[0]] > 1):
-            counts[x] += 1
+    left = counts.copy()
+    for x in have[have * 3 >= gap].tolist():
+        left[x] -= 1  # the other two come from what is left beside it
+        if two := pair(gap - x, x, left):
             return (x, *two)
-        counts[x] += 1
+        left[x] += 1
     return None
 
 
