@@ -3,14 +3,14 @@
 A text's UTF-8 bytes are embedded, learned filters slide over overlapping windows of ``WIDTH`` bytes every
 ``STRIDE`` bytes, and their rectified responses are max-pooled over chunks of ``CHUNK`` windows; chunks overlap by
 half and cover the whole text, the last one included however short. The mean, the largest and the
-smallest pooled response of each filter over the chunks enter one logistic unit. A text of less than a chunk
-has fewer windows to draw its maxima from; how much of a chunk it fills scales the largest responses in further inputs of that unit.
+smallest pooled response of each filter over the chunks enter one logistic unit, and nothing else does. A text of less than a chunk
+has fewer windows to draw its maxima from; what it lacks of a chunk scales its largest responses as further inputs of that unit.
 
-The network is trained by Adam on the driver, on at most ``per_class`` texts a class of at most ``max_chars``
-characters (see ``common.labelled_sample``), with classes weighing alike.
+The network is trained by Adam on the driver, on at most ``per_class`` texts a class, of longer ones windows of ``max_chars``
+characters together (see ``common.labelled_sample``), with classes weighing alike.
 
-Defined results: a null or empty text has all responses zero; repeated rows are scored alike; without
-labelled rows of both classes every score is the smoothed base rate.
+Defined results: a null or empty text has all responses zero; a very long text is scored whole, in blocks; repeated rows are scored alike; without
+labelled rows of both classes every score is the smoothed base rate; an empty table gives no rows; columns named as the results are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ PER_CLASS = 1500
 MAX_CHARS = 12_000
 THRESHOLD = 0.7
 EPOCHS = 14
-#: Inputs of the last unit: mean, maximum and minimum of each filter, the maximum times what is missing of a chunk, and that share with its square.
-INPUTS = 4 * FILTERS + 2
+#: Inputs of the last unit: mean, maximum and minimum of each filter, and the maximum times what is missing of a chunk.
+INPUTS = 4 * FILTERS
 #: Windows that pass through the filters at a time.
 BLOCK = 1 << 14
 
@@ -84,9 +84,9 @@ def missing_share(n_windows: int) -> float:
 
 def unit_inputs(chunks: np.ndarray, missing: float) -> np.ndarray:
     if not len(chunks):
-        return np.asarray([0] * 4 * FILTERS + [1, 1], np.float32)
+        return np.zeros(INPUTS, np.float32)
     high = chunks.max(0)
-    return np.concatenate([chunks.mean(0), high, chunks.min(0), high * np.float32(missing), np.asarray([missing, missing * missing], np.float32)])
+    return np.concatenate([chunks.mean(0), high, chunks.min(0), high * np.float32(missing)])
 
 
 def pooled_features(halves: np.ndarray, n_windows: int) -> np.ndarray:
@@ -114,7 +114,7 @@ def _gradients(net: Network, w: np.ndarray, target: float, weight: float):
     feats = unit_inputs(chunks, missing)
     p = _logistic(float(feats @ net.out) + net.out_bias)
     d = weight * (p - target)
-    mean, high, low, short = (d * net.out[: 4 * FILTERS]).reshape(4, FILTERS)
+    mean, high, low, short = (d * net.out).reshape(4, FILTERS)
     high = high + short * missing
     dc = np.repeat(mean[None] / k, k, 0).astype(np.float32)
     f = np.arange(FILTERS)

@@ -5,11 +5,13 @@ text. Each is scaled by its log-count ratio, log((p + a) / |p + a|) - log((q + a
 documents of either class that hold it, and a logistic regression is fitted on the scaled features. Score
 weights are the products of both, so scoring a text is one lookup for each n-gram that occurs in it.
 
-The model is fitted on the driver on at most ``per_class`` texts a class of at most ``max_chars``
-characters (see ``common.labelled_sample``); the weights are a table of ``2 ** BUCKET_BITS`` floats.
+The model is fitted on the driver on at most ``per_class`` texts a class, of longer ones windows of ``max_chars``
+characters together (see ``common.labelled_sample``); the weights are a table of ``2 ** BUCKET_BITS`` floats. With few toxic texts to
+learn from (some tens) precision is poor, see the README.
 
-Defined results: a null or empty text has no features and gets the score of the intercept; repeated rows
-are scored alike; without labelled rows of both classes every score is the smoothed base rate.
+Defined results: a null or empty text has no features and gets the score of the intercept; a very long text is scored whole; repeated rows
+are scored alike; without labelled rows of both classes every score is the smoothed base rate; an empty table gives no rows; columns named as the
+results are replaced, others kept.
 """
 
 from __future__ import annotations
