@@ -8,8 +8,8 @@ whatever the data, and placement is one lookup.
 
 Shards with a weight w claim a slot in a share w of the rounds.
 
-Defined results: a null key hashes like the text of no characters does, apart from other keys by a fixed
-seed; repeated rows go to one shard; an empty table gives no rows; an existing ``slot`` or ``shard`` column is replaced.
+Defined results: a null key is placed like the text of no characters, so all rows without a key go to one shard, whose files ``write`` splits;
+repeated rows go to one shard; a very long key is hashed whole; an empty table gives no rows; an existing ``slot`` or ``shard`` column is replaced, other columns are kept.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 SIZE = 65_537
 SHARDS = 64
+#: Rows of a file of a shard.
+ROWS_PER_FILE = 1_000_000
 
 
 def is_prime(n: int) -> bool:
@@ -69,8 +71,15 @@ def assign(df: DataFrame, shards: list[str], key: str = "doc_id", size: int = SI
     return df.drop("slot", "shard").withColumn("slot", slot).join(F.broadcast(places), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
 
 
-def write(df: DataFrame, path: str, shards: list[str], key: str = "doc_id", files_per_shard: int = 1, **options) -> None:
-    """Write each shard as its own folder ``shard=...`` of at most ``files_per_shard`` files; salting splits a heavy shard over that many tasks."""
+def write(df: DataFrame, path: str, shards: list[str], key: str = "doc_id", files_per_shard: int | None = None, rows_per_file: int = ROWS_PER_FILE, **options) -> None:
+    """Write each shard as its own folder ``shard=...``.
+
+    A shard is split over ``files_per_shard`` tasks, by default as many as give each ``rows_per_file`` rows of an even share; a file ends at
+    ``rows_per_file`` rows too. The split is a hash of the row, which a task that runs again repeats.
+    """
     placed = assign(df, shards, key, **options)
-    salted = placed.withColumn("_salt", (F.rand(3) * files_per_shard).cast("int"))
-    salted.repartition(len(shards) * files_per_shard, "shard", "_salt").drop("_salt").write.partitionBy("shard").parquet(path)
+    files = files_per_shard or max(1, -(-df.count() // (len(shards) * rows_per_file)))
+    hashed = [f.name for f in placed.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    salted = placed.withColumn("__salt", F.pmod(F.xxhash64(F.lit(3), *[F.col(f"`{c}`") for c in hashed]), F.lit(files)))
+    dealt = salted.repartition(len(shards) * files, "shard", "__salt").drop("__salt")
+    dealt.write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)

@@ -9,14 +9,15 @@ and an inner product is (|q|^2 + |x|^2 - d2) / 2, so a lower bound on the distan
 from coarse to fine (each halves the segments before it); a candidate whose bound is below the query's
 k-th best score so far goes no further. Survivors get their exact integer product.
 
-Queries are taken in waves of at most ``wave`` rows, which bounds what is broadcast and what the driver
-holds. The k-th best score of each query among its own wave is a first threshold for every task. Tasks return at
+Queries are taken in waves of at most ``wave`` rows; each wave's candidates are stored and its broadcast is freed before the next,
+which bounds what is broadcast and what the driver holds whatever the number of queries. The k-th best score of each query among its own wave is a first threshold for every task. Tasks return at
 most k candidates a query, those at or above the threshold; one window picks the final ranks.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; a query meets
 only vectors of its own length; rows that carry the query's id count as the query's own, and of
 several query rows with one id the first in value order asks; a null id takes no part; equal candidates
-each keep their rows; fewer candidates than k give fewer ranks. Scores that overflow a long are clipped.
+each keep their rows; fewer candidates than k give fewer ranks. Scores that overflow a long are clipped; an empty table gives no rows; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.llm.common import materialise
+
 SCALE = 256
 K = 5
 QUERY_EVERY = 50
@@ -160,7 +163,10 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, wav
     out = None
     for lo, hi in bounds:
         part = asked.where((F.col("id") >= lo) & (F.col("id") <= hi)).orderBy("id").collect()  # at most ``wave`` rows
-        found = _one_wave(spark, rows, part, k, scale)
+        found, shared = _one_wave(spark, rows, part, k, scale)
+        if len(bounds) > 1:  # stored, so that only one wave's queries are held at a time
+            found = materialise(found, "wave")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -188,7 +194,8 @@ def _wave_bounds(asked: DataFrame, wave: int) -> list[tuple[int, int]]:
     return out
 
 
-def _one_wave(spark, rows: DataFrame, part: list, k: int, scale: int) -> DataFrame:
+def _one_wave(spark, rows: DataFrame, part: list, k: int, scale: int):
+    """(query_id, vec_id, score) of the candidates of one wave, and the broadcast of its queries."""
     asked = {n: Statistics(*x) for n, x in by_length([r.id for r in part], [r.v for r in part], scale).items()}
     floors = {}
     for n, s in asked.items():
@@ -224,4 +231,4 @@ def _one_wave(spark, rows: DataFrame, part: list, k: int, scale: int) -> DataFra
                 q, c, s = kept[n][0]
                 yield pa.RecordBatch.from_arrays([pa.array(mine[n].ids[q]), pa.array(c), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.mapInArrow(run, "query_id long, vec_id long, score long"), shared
