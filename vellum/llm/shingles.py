@@ -149,23 +149,15 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     """The ``pairs`` (u, v) whose shingle sets are as similar as asked; ``texts`` (node, text) has one text of each node."""
 
     def sets(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 128):
             data, offsets = text_buffers(batch.column("text"))
-            found = [s.tobytes() for lo, hi in byte_blocks(offsets) for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
+            found = [s.view(np.int64) for lo, hi in byte_blocks(offsets) for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    def check(batches):
-        for batch in slices(batches):
-            good = []
-            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(both >= similarity * (len(a) + len(b) - both) - ROUNDING)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    known = materialise(texts.mapInArrow(sets, "node long, shingles binary"), "sets")
+    known = materialise(texts.mapInArrow(sets, "node long, shingles array<long>"), "sets")
     a, b = (known.select(F.col("node").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "a"), ("v", "b")))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.join(a, "u").join(b, "v").where(both >= similarity * (F.size("a") + F.size("b") - both) - ROUNDING).select("u", "v")
 
 
 def _roots(found: DataFrame) -> DataFrame:
