@@ -14,14 +14,6 @@ from vellum.functions import labels, markdown
 METHODS = ("hungarian", "dtw")
 
 
-def error_matrix(a: list[list[str]], b: list[list[str]]) -> np.ndarray:
-    out = np.ones((len(a), len(b)))
-    for j, y in enumerate(b):
-        for i, x in enumerate(a):
-            out[i, j] = 0.0 if not x and not y else 1.0 if not x or not y else 1 - SequenceMatcher(None, x, y).ratio()
-    return out
-
-
 def assignment(cost: np.ndarray) -> list[int]:
     """Column of each row, all different, with the least sum, for at least as many columns as rows. Shortest augmenting paths with potentials."""
     n, m = cost.shape
@@ -91,25 +83,58 @@ def warp(cost: np.ndarray) -> list[tuple[int, int]]:
     return path[::-1]
 
 
+def page_costs(pages: DataFrame, key: str) -> DataFrame:
+    """(key, i, j, orig_page, render_page, wer) for every page of side 'a' with every page of side 'b' of a document; i and j are the places of the pages on their sides.
+
+    A row is one page of the second side with the list of the first side's, so a document of n pages is n rows that are scored in parallel; the matcher indexes the
+    second text once for all of its row.
+    """
+    words = F.array_join(F.filter(F.split(markdown.normalize_for_comparison(F.col("text")), " "), lambda w: w != ""), " ")
+    rows = pages.select(key, "side", F.struct(F.col("page").cast("long").alias("page"), words.alias("words")).alias("p"))
+    sides = [F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("p")))).alias(f"_{s}") for s in "ab"]
+    met = rows.groupBy(key).agg(*sides).select(key, "_a", F.posexplode("_b").alias("j", "b"))
+
+    @F.pandas_udf("array<double>")
+    def errors(many: pd.Series, one: pd.Series) -> pd.Series:
+        out = []
+        for texts, text in zip(many, one, strict=True):
+            b = text.split()
+            matcher = SequenceMatcher(None, [], b)
+            row = []
+            for t in texts:
+                a = t.split()
+                matcher.set_seq1(a)
+                row.append(0.0 if not a and not b else 1.0 if not a or not b else 1 - matcher.ratio())
+            out.append(row)
+        return pd.Series(out)
+
+    # pages of one document go to many tasks
+    met = met.repartition(key, "j").withColumn("_wer", errors(F.transform("_a", lambda x: x["words"]), "b.words"))
+    cells = F.transform("_a", lambda x, i: F.struct(i.alias("i"), x["page"].alias("orig_page"), F.get("_wer", i).alias("wer")))
+    return met.select(key, "j", F.col("b.page").alias("render_page"), F.explode(cells).alias("c")).select(key, "c.i", "j", "c.orig_page", "render_page", "c.wer")
+
+
 def align_pages(pages: DataFrame, key: str, method: str = "hungarian") -> DataFrame:
     """(key, pos, orig_page, render_page, wer) from pages (key, side 'a' or 'b', page, text).
 
-    One document's pages are one group; documents are spread. Texts are normalised before, in built-in expressions.
+    Costs are computed in parallel (``page_costs``); only their numbers, one a pair of pages, come together by document for the pairing.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}: {', '.join(METHODS)}")
     pair = hungarian if method == "hungarian" else warp
-    words = pages.select(F.col(key).alias("key"), "side", F.col("page").cast("long").alias("page"), F.filter(F.split(markdown.normalize_for_comparison(F.col("text")), " "), lambda w: w != "").alias("words"))
+    costs = page_costs(pages, key)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [pdf[pdf.side == s].sort_values("page") for s in "ab"]
-        cost = error_matrix(*[[list(w) for w in s.words] for s in sides])
+        i, j = pdf.i.to_numpy(), pdf.j.to_numpy()
+        cost = np.ones((i.max() + 1, j.max() + 1))
+        cost[i, j] = pdf.wer
+        pages = [dict(zip(at.tolist(), page.tolist(), strict=True)) for at, page in ((i, pdf.orig_page), (j, pdf.render_page))]
         found = pair(cost)
-        a, b = (s.page.tolist() for s in sides)
-        return pd.DataFrame({"key": [pdf.key.iloc[0]] * len(found), "pos": range(len(found)), "orig_page": [a[i] for i, _ in found], "render_page": [b[j] for _, j in found], "wer": [float(cost[i, j]) for i, j in found]})
+        return pd.DataFrame({"key": [pdf.key.iloc[0]] * len(found), "pos": range(len(found)), "orig_page": [pages[0][a] for a, _ in found], "render_page": [pages[1][b] for _, b in found], "wer": [float(cost[p]) for p in found]})
 
-    kind = words.schema["key"].dataType.simpleString()
-    return words.groupBy("key").applyInPandas(run, f"key {kind}, pos long, orig_page long, render_page long, wer double").withColumnRenamed("key", key)
+    kind = pages.schema[key].dataType.simpleString()
+    numbers = costs.select(F.col(key).alias("key"), "i", "j", "orig_page", "render_page", "wer")
+    return numbers.groupBy("key").applyInPandas(run, f"key {kind}, pos long, orig_page long, render_page long, wer double").withColumnRenamed("key", key)
 
 
 def monotone(pairs: DataFrame, key: str, pos: str = "pos", b: str = "render_page") -> DataFrame:
