@@ -19,7 +19,8 @@ MATH_SEGMENT = r"(?s)(\$\$.*?\$\$|\$[^$\n]+?\$)"
 INLINE_MATH = r"(?<!\\)\$[^$\n]+?\$"
 LATEX_COMMAND = r"\\([a-zA-Z]+)"
 ESCAPE = r"\\([\\`*_{}\[\]()#+\-.!])"
-PASS2_MATH = r"[=∑∫√≤≥≠αβγδλμνπσφψωΣΦΨΩ∇∂±×·→]|(?U:\b\d+/\d+\b)|\^|_\{|\\[a-zA-Z]+"
+PASS2_SIGNS = "[=∑∫√≤≥≠αβγδλμνπσφψωΣΦΨΩ∇∂±×·→^]"
+FRACTION = r"(?U)\b\d+/\d+\b"
 PROBE_MATH = r"[=∑∫√≤≥≠αβγδλΣΦΨΩ]|(?U:\b\d+/\d+\b)|\^|\\[a-zA-Z]+"
 SECTION = r"^(\d+)((?:\.\d+)*)\s+[A-Z][a-z]"
 
@@ -109,6 +110,14 @@ def metrics(text: Column) -> dict[str, Column]:
     }
 
 
+def math_hits(text: Column) -> Column:
+    """Signs, fractions, subscripts and commands of mathematics. No two kinds share a character, so each is counted alone, and the costly ones only in texts that can hold them."""
+    has = lambda part: F.contains(text, F.lit(part))
+    fractions = F.when(has("/"), matches(text, FRACTION)).otherwise(0)
+    commands = F.when(has("\\"), matches(text, LATEX_COMMAND)).otherwise(0)
+    return matches(text, PASS2_SIGNS) + fractions + occurrences(text, "_{") + commands
+
+
 def latex_commands(text: Column) -> Column:
     """Array of the commands inside math, in order."""
     return F.regexp_extract_all(F.array_join(F.regexp_extract_all(text, F.lit(MATH_SEGMENT), 0), "\n"), F.lit(LATEX_COMMAND), 1)

@@ -108,3 +108,25 @@ def page_pair_summary(pairs: DataFrame, key: str | None = None) -> DataFrame:
     }
     out = (pairs.groupBy(key) if key else pairs.groupBy()).agg(*[c.alias(n) for n, c in cols.items()])
     return out.select(*[key] * bool(key), "n", *[F.round(F.coalesce(F.col(n), F.lit(0.0)), 6).alias(n) for n in cols if n != "n"])
+
+
+def with_sidecar(docs: DataFrame, sidecar: DataFrame, key: str | list[str]) -> DataFrame:
+    """``docs`` with the columns of at most one sidecar row each, null where there is none. Sidecars are keyed by directory, so their keys are unique and spread."""
+    return docs.join(sidecar, key, "left")
+
+
+def first_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in ``order``. An aggregate that combines before the shuffle; a popular key sends one row a task."""
+    others = [c for c in rows.columns if c not in (*keys, *order)]
+    kept = rows.groupBy(*keys).agg(F.min_by(F.struct(*order, *others), F.struct(*order)).alias("_first"))
+    return kept.select(*keys, "_first.*").select(*rows.columns)
+
+
+def kind_details(docs: DataFrame) -> DataFrame:
+    """(kind, rel_path, ...) rows of the kinds that reports list one by one, in order of kind and path; the last kind has no list."""
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    formulas = (F.col("math_display") + F.col("math_inline")).alias("formulas")
+    rows = docs.where(F.col("kind").isin(*KINDS[:-1])).select(
+        "kind", "rel_path", "pages", "chapter_count", "tokens", "words", formulas, "images_count", "size_bytes", "similarity", "extraction_seconds",
+    )
+    return rows.orderBy(place, "rel_path")

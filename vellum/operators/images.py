@@ -31,9 +31,9 @@ def largest_savings(decided: DataFrame, most: int = 10, tie: str = "image_id") -
 
 
 def by_format(images: DataFrame, key: str | None = None) -> DataFrame:
-    """Each image counted once by its format: count, bytes, largest, smallest, and the mean in whole bytes."""
+    """Each image counted once by its format: count, bytes, largest, smallest, and the mean in whole bytes; the commonest format first, ties by name."""
     n, total = F.count("*"), F.sum("bytes")
-    return images.groupBy(*[key] * bool(key), F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).alias("format")).agg(n.alias("n"), total.cast("long").alias("bytes"), F.max("bytes").alias("max_bytes"), F.min("bytes").alias("min_bytes"), F.floor(total / n).cast("long").alias("avg_bytes"))
+    return images.groupBy(*[key] * bool(key), F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).alias("format")).agg(n.alias("n"), total.cast("long").alias("bytes"), F.max("bytes").alias("max_bytes"), F.min("bytes").alias("min_bytes"), F.floor(total / n).cast("long").alias("avg_bytes")).orderBy(*[key] * bool(key), F.desc("n"), "format")
 
 
 def rename_references(text: Column, renames: Column) -> tuple[Column, Column]:

@@ -37,6 +37,11 @@ def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROFILES, PROFILE_SCHEMA)
 
 
+def by_role(known: DataFrame, role: str) -> DataFrame:
+    """The profiles of a role, fastest first."""
+    return known.where(F.col("role") == role).orderBy("unit_speed_s", "algo")
+
+
 def canonical_intent(intent: Column) -> Column:
     """The canonical name of an alias; null for an unknown one."""
     key = F.replace(F.lower(F.trim(F.coalesce(intent, F.lit("")))), F.lit("_"), F.lit("-"))
@@ -46,7 +51,7 @@ def canonical_intent(intent: Column) -> Column:
 def availability(hosts: DataFrame, known: DataFrame) -> DataFrame:
     """(host, algo, available) for every host and profile; both are dimensions, profiles a handful of rows."""
     flags = F.create_map(*[x for need, col in NEEDS.items() for x in (F.lit(need), F.col(col))])
-    joined = hosts.join(F.broadcast(known.select("algo", "hardware", "needs")))
+    joined = hosts.crossJoin(F.broadcast(known.select("algo", "hardware", "needs")))  # a handful of profiles
     enough = (F.col("hardware") != "gpu-required") | (F.col("gpu_vram_mb") >= GPU_MIN_MB)
     met = F.forall("needs", lambda n: F.coalesce(F.try_element_at(flags, n), F.lit(True)))
     return joined.select("host", "algo", (enough & met).alias("available"))
@@ -56,7 +61,7 @@ def capabilities(hosts: DataFrame, known: DataFrame) -> DataFrame:
     """One row a host: which algorithms it has, for the decision columns."""
     wide = availability(hosts, known).groupBy("host").agg(F.collect_set(F.when(F.col("available"), F.col("algo"))).alias("can"))
     rams = known.agg(*[F.max(F.when(F.col("algo") == a, F.col("ram_mb"))).alias(n) for a, n in ((OPTIMIZER, "opt_ram"), ("pdftotext", "text_ram"))], F.collect_set(F.when(F.col("scan").isin("ocr-gpu", "printed"), F.col("algo"))).alias("scanners"))
-    return hosts.select("host", "gpu_vram_mb", "has_marker").join(wide, "host").join(F.broadcast(rams))
+    return hosts.select("host", "gpu_vram_mb", "has_marker").join(wide, "host").crossJoin(F.broadcast(rams))  # one row
 
 
 def route(cases: DataFrame) -> DataFrame:
