@@ -82,7 +82,7 @@ def rename_refs(spark, d):
 
 def sidecar_left_join(spark, d):
     docs, side = table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels")
-    return docs.join(side, "doc_id", "left").select("doc_id", "source", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
+    return corpus.with_sidecar(docs, side, "doc_id").select("doc_id", "source", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
 
 
 def transport_ratios(spark, d):
@@ -100,6 +100,21 @@ def version_signatures(spark, d):
     return corpus.tool_signatures(table(spark, d, "customer").select(tools.alias("tools")))
 
 
+def kind_details(spark, d):
+    rows = _facts(spark, d).withColumns({"chapter_count": F.col("doc_id") % 3, "extraction_seconds": F.when(F.col("doc_id") % 2 == 0, F.col("n_chars") / 8)})
+    return corpus.kind_details(rows)
+
+
+def registry_excerpts(spark, d):
+    entries = table(spark, d, "part").selectExpr("p_partkey AS doc_id", "CASE WHEN p_partkey % 4 = 0 THEN 'x/' || p_partkey END AS inrepo_excerpt")
+    there = table(spark, d, "part").where("p_partkey % 8 = 0").selectExpr("'x/' || p_partkey AS path")
+    return registry.has_excerpt(entries, there.unionByName(there))
+
+
+def profiles_by_role(spark, d):
+    return routing.by_role(routing.profiles(spark), "REFINER").select("algo", "unit", "unit_speed_s")
+
+
 def outlier_tiers(spark, d):
     return corpus.outliers(facts(spark, d)).select("doc_id", "rel_path", "tier", "notes")
 
@@ -119,7 +134,7 @@ def ok_fail_counts(spark, d):
 
 
 def telemetry_steps(spark, d):
-    rows = table(spark, d, "events").select(F.col("event_type").alias("step"), "ts", F.col("event_id").alias("sample_id"), F.col("value").alias("cpu"), (F.col("event_id") % 977).cast("double").alias("rss"), (F.col("event_id") * 3).cast("double").alias("read_bytes"))
+    rows = table(spark, d, "events").select(F.col("event_type").alias("step"), "ts", F.col("event_id").alias("sample_id"), F.col("value").alias("cpu"), (F.col("event_id") % 977).cast("double").alias("rss"), (F.col("event_id") * 3).cast("double").alias("read_bytes"), (F.col("event_id") * 5).cast("double").alias("write_bytes"), (F.col("event_id") / 100).alias("cpu_seconds"), (F.col("event_id") % 17).alias("threads"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 101).cast("double").alias("gpu_util"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 4096).cast("double").alias("gpu_vram"))
     return telemetry.step_metrics(rows)
 
 
@@ -143,10 +158,10 @@ _INTENTS = ["fast", " Rapido", "quality", "BALANCED", "auto", "indexação", "lo
 
 def _cases(spark, d):
     hosts = spark.createDataFrame(_HOSTS, _HOST_SCHEMA)
-    docs = table(spark, d, "documents").where("doc_id < 60").selectExpr("doc_id", "doc_id % 4 > 0 AS has_text_layer", "CAST(doc_id % 3 AS DOUBLE) AS math_density", "CAST(doc_id % 2 AS DOUBLE) AS matrix_density", "doc_id % 5 = 0 AS has_raster_logos")
+    docs = table(spark, d, "documents").selectExpr("doc_id", "doc_id % 4 > 0 AS has_text_layer", "CAST(doc_id % 3 AS DOUBLE) AS math_density", "CAST(doc_id % 2 AS DOUBLE) AS matrix_density", "doc_id % 5 = 0 AS has_raster_logos")
     intents = spark.createDataFrame([(i,) for i in _INTENTS], "intent string")
-    dims = F.broadcast(routing.capabilities(hosts, routing.profiles(spark))).join(F.broadcast(intents))  # six hosts by nine intents
-    return routing.route(docs.join(F.broadcast(dims)))
+    dims = routing.capabilities(hosts, routing.profiles(spark)).crossJoin(F.broadcast(intents))  # six hosts by nine intents
+    return routing.route(docs.crossJoin(F.broadcast(dims)))
 
 
 def route_matrix(spark, d):
@@ -181,7 +196,7 @@ _AVAILABLE = f"""(SELECT host, algo, (hardware <> 'gpu-required' OR gpu_vram_mb
 _ROUTED = f"""(WITH can AS (SELECT host, bool_or(available) FILTER (algo = 'marker') AS mk, bool_or(available) FILTER (algo = 'tesseract') AS te, bool_or(available) FILTER (algo = 'pix2tex') AS px, bool_or(available) FILTER (algo = 'gemma3-4b-small-image') AS ge FROM {_AVAILABLE} GROUP BY host),
     c AS (SELECT d.doc_id, d.doc_id % 4 > 0 AS txt, d.doc_id % 3 AS math, d.doc_id % 2 AS matrix, d.doc_id % 5 = 0 AS logos, can.*, i.intent,
         CASE replace(lower(trim(i.intent)), '_', '-') WHEN 'fast' THEN 'rapido' WHEN 'rapido' THEN 'rapido' WHEN 'quality' THEN 'qualidade' WHEN 'balanced' THEN 'balanceado' WHEN 'auto' THEN 'auto' WHEN 'indexação' THEN 'indexacao' WHEN 'low-resource' THEN 'low-resource' WHEN 'baixo-recurso' THEN 'low-resource' END AS k
-        FROM documents d, can, ({_values([(i,) for i in _INTENTS])}) i(intent) WHERE d.doc_id < 60),
+        FROM documents d, can, ({_values([(i,) for i in _INTENTS])}) i(intent)),
     p AS (SELECT *, k IN ('qualidade', 'balanceado', 'auto') AS wq, CASE WHEN k IS NULL THEN NULL WHEN NOT txt THEN CASE WHEN mk THEN 'marker' WHEN te THEN 'tesseract' END WHEN k IN ('qualidade', 'balanceado', 'auto') AND mk THEN 'marker' ELSE 'pdftotext' END AS prim FROM c),
     s AS (SELECT *, txt AND k IN ('qualidade', 'auto') AND math > 0 AND prim <> 'marker' AS m, txt AND k IN ('qualidade', 'auto') AND logos AS l, CASE WHEN k IS NULL THEN 'UnknownIntent' WHEN prim IS NULL THEN 'ScanNoOCR' ELSE 'ok' END AS status FROM p)
     SELECT doc_id, host, intent, status, prim AS primary_algo, math, CASE WHEN status = 'ok' THEN concat_ws('+', prim, CASE WHEN m AND px THEN 'pix2tex' END, CASE WHEN l AND ge THEN 'gemma3-4b-small-image' END, CASE WHEN wq THEN 'image-optimize' END) END AS steps,
@@ -196,7 +211,7 @@ QUERIES = {
     "page_flags": page_flags, "page_pair_agg": page_pair_agg, "problem_pages": problem_pages, "report_labels": report_labels, "image_decisions": image_decisions, "image_savings": image_savings, "image_savings_topk": image_savings_topk, "image_formats": image_formats, "rename_refs": rename_refs,
     "sidecar_left_join": sidecar_left_join, "corpus_totals": lambda s, d: corpus.corpus_totals(facts(s, d)), "overview_by_kind": lambda s, d: corpus.by_kind(_facts(s, d)), "similarity_histogram": lambda s, d: corpus.similarity_histogram(facts(s, d)),
     "divergence_merge": divergence_merge, "transport_ratios": transport_ratios, "version_signatures": version_signatures, "outlier_tiers": outlier_tiers, "drift_verdict": drift_verdict, "ok_fail_counts": ok_fail_counts, "telemetry_steps": telemetry_steps, "bag_similarity": bag_similarity,
-    "registry_resolve": registry_resolve, "availability_matrix": availability_matrix, "route_matrix": route_matrix, "execution": execution, "memory_peak": memory_peak,
+    "registry_resolve": registry_resolve, "kind_details": kind_details, "registry_excerpts": registry_excerpts, "profiles_by_role": profiles_by_role, "availability_matrix": availability_matrix, "route_matrix": route_matrix, "execution": execution, "memory_peak": memory_peak,
 }
 
 ORACLE_SQL = {
@@ -217,9 +232,12 @@ ORACLE_SQL = {
     "transport_ratios": f"SELECT doc_id, round(size_bytes * 100 / CASE WHEN pdf_size > 0 THEN pdf_size END, 4) AS md_pct, round((size_bytes + images_total_bytes) * 100 / CASE WHEN pdf_size > 0 THEN pdf_size END, 4) AS md_images_pct FROM {FACTS_SQL}",
     "version_signatures": "SELECT coalesce(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END, '?') AS marker, coalesce(CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE '2.' || c_custkey % 2 END, '?') AS torch, CASE WHEN c_custkey % 5 = 0 THEN 'gpu' ELSE 'CPU' END AS device, count(*) AS docs FROM customer GROUP BY ALL",
     "outlier_tiers": f"SELECT * FROM (SELECT doc_id, rel_path, CASE WHEN tokens = 0 THEN 'critical' WHEN s < 50 THEN 'critical' WHEN s < 70 THEN 'notable' WHEN ligature_artifacts > 0 THEN 'critical' END AS tier, concat_ws('; ', CASE WHEN s < 50 THEN 'round trip critical' WHEN s < 70 THEN 'round trip moderate' END, CASE WHEN ligature_artifacts > 0 THEN ligature_artifacts || ' broken ligatures' END, CASE WHEN tokens = 0 THEN 'no tokens' END) AS notes FROM (SELECT *, CAST(similarity AS DOUBLE) * 100 AS s FROM {FACTS_SQL})) WHERE tier IS NOT NULL",
+    "kind_details": f"SELECT kind, rel_path, pages, doc_id % 3 AS chapter_count, tokens, words, math_display + math_inline AS formulas, images_count, size_bytes, CAST(similarity AS DOUBLE) AS similarity, CASE WHEN doc_id % 2 = 0 THEN words / 8 END AS extraction_seconds FROM (SELECT *, {_KIND} AS kind FROM {FACTS_SQL}) WHERE kind <> 'outro'",
+    "registry_excerpts": "SELECT p_partkey AS doc_id, p_partkey % 8 = 0 AS has_excerpt FROM part",
+    "profiles_by_role": "SELECT * FROM (VALUES ('pix2tex', 'formula', 6.5::DOUBLE), ('gemma3-4b-small-image', 'image', 45.9::DOUBLE), ('qwen3-vl-8b-small-image', 'image', 112.0::DOUBLE)) v(algo, unit, unit_speed_s)",
     "drift_verdict": _DRIFT,
     "ok_fail_counts": "SELECT count(*) FILTER (event_id % 9 <> 0) AS ok, count(*) FILTER (event_id % 9 = 0) AS failed FROM events",
-    "telemetry_steps": "SELECT step, samples, round(CAST(wall AS DOUBLE), 3) AS wall_s, round(m, 3) AS cpu_mean, round(p, 3) AS cpu_peak, round(a, 3) AS rss_start, round(z, 3) AS rss_peak, round(z - a, 3) AS rss_delta, round(greatest(0, io), 3) AS io_read FROM (SELECT event_type AS step, count(*) AS samples, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS wall, avg(value) AS m, max(value) AS p, CAST(arg_min(event_id % 977, (ts, event_id)) AS DOUBLE) AS a, CAST(max(event_id % 977) AS DOUBLE) AS z, CAST(arg_max(event_id * 3, (ts, event_id)) - arg_min(event_id * 3, (ts, event_id)) AS DOUBLE) AS io FROM events GROUP BY 1)",
+    "telemetry_steps": "SELECT step, samples, round(CAST(wall AS DOUBLE), 3) AS wall_s, round(m, 3) AS cpu_mean, round(p, 3) AS cpu_peak, round(a, 3) AS rss_start, round(z, 3) AS rss_peak, round(z - a, 3) AS rss_delta, round(greatest(0, io), 3) AS io_read, round(greatest(0, w), 3) AS io_write, round(c, 3) AS cpu_s, CAST(th AS DOUBLE) AS threads_peak, round(gu, 3) AS gpu_util_mean, vp AS vram_peak, vp - v0 AS vram_delta FROM (SELECT event_type AS step, count(*) AS samples, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS wall, avg(value) AS m, max(value) AS p, CAST(arg_min(event_id % 977, (ts, event_id)) AS DOUBLE) AS a, CAST(max(event_id % 977) AS DOUBLE) AS z, CAST(arg_max(event_id * 3, (ts, event_id)) - arg_min(event_id * 3, (ts, event_id)) AS DOUBLE) AS io, CAST(arg_max(event_id * 5, (ts, event_id)) - arg_min(event_id * 5, (ts, event_id)) AS DOUBLE) AS w, arg_max(event_id / 100, (ts, event_id)) - arg_min(event_id / 100, (ts, event_id)) AS c, max(event_id % 17) AS th, avg(CASE WHEN event_id % 4 > 0 THEN event_id % 101 END) AS gu, CAST(max(CASE WHEN event_id % 4 > 0 THEN event_id % 4096 END) AS DOUBLE) AS vp, CAST(CASE WHEN arg_min(event_id, (ts, event_id)) % 4 > 0 THEN arg_min(event_id, (ts, event_id)) % 4096 END AS DOUBLE) AS v0 FROM events GROUP BY 1)",
     "bag_similarity": "SELECT a.doc_id, round(CASE WHEN len(list_distinct(a.t || b.t)) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) END, 6) AS similarity FROM (SELECT doc_id, list_distinct(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda w: w <> '')) AS t FROM documents) a JOIN (SELECT doc_id, list_distinct(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda w: w <> '')) AS t FROM documents) b ON a.doc_id % 2 = 0 AND b.doc_id = a.doc_id + 1",
     "registry_resolve": "WITH av AS (SELECT DISTINCT CASE WHEN p_partkey % 5 < 3 THEN 'p/' ELSE 'x/' END || p_partkey AS path FROM part UNION SELECT 'x/' || p_partkey FROM part WHERE p_partkey % 8 = 0), e AS (SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN 'inrepo' WHEN 1 THEN 'zcache' ELSE 'private' END AS tier, 'p/' || p_partkey AS path, CASE WHEN p_partkey % 4 = 0 THEN 'x/' || p_partkey END AS x FROM part), v AS (SELECT *, path IN (SELECT path FROM av) AS hp, coalesce(x IN (SELECT path FROM av), false) AS hx FROM e), w AS (SELECT *, CASE WHEN doc_id % 2 = 0 AND hx THEN 'excerpt' WHEN hp THEN tier WHEN hx THEN 'excerpt' ELSE 'missing' END AS via FROM v) SELECT doc_id, CASE via WHEN 'excerpt' THEN x WHEN 'missing' THEN NULL ELSE path END AS resolved, via FROM w",
     "availability_matrix": f"SELECT * FROM {_AVAILABLE}",

@@ -36,7 +36,7 @@ def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "lang", *[x.strip() for x in select_list(FACTS)])
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "lang", "n_chars", *[x.strip() for x in select_list(FACTS)])
     return rows.withColumn("similarity", rows["similarity"].cast("double"))
 
 

@@ -33,7 +33,7 @@ _M = ", ".join(f"{c} AS {n}" for n, c in METRICS_SQL.items())
 _METRICS = f"(SELECT doc_id, source, lang, {_M} FROM {MD_SQL})"
 
 
-def _trim(x: str) -> str:
+def trimmed(x: str) -> str:
     return rf"regexp_replace({x}, '\A[{_WS}]+|[{_WS}]+\z', '', 'g')"
 
 
@@ -44,12 +44,12 @@ def _norm(text: str, escapes: bool = False) -> str:
     if escapes:
         x = rf"regexp_replace({x}, '\\([\\`*_{{}}\[\]()#+\-.!])', '\1', 'g')"
     x = rf"regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
-    return _trim(x)
+    return trimmed(x)
 
 
-_FOLD = "nfc_normalize(translate(" + "replace(" * 5 + "md" + "".join(f", '{a}', '{b}')" for a, b in markdown.LIGATURES.items()) + ", '“”‘’–−', '\"\"''''--'))"
-_COMPARE = _trim(rf"regexp_replace(regexp_replace(lower(nfc_normalize(md)), '\\([\\`*_{{}}\[\]()#+\-.!])', '\1', 'g'), '[{_WS}]+', ' ', 'g')")
-_HYPHEN = r"regexp_replace(regexp_replace(md, '([\pL\pN_])-\n([\pL\pN_])', '\1\2', 'g'), '([\pL\pN_])- ([\pL\pN_])', '\1\2', 'g')"
+FOLD = "nfc_normalize(translate(" + "replace(" * 5 + "md" + "".join(f", '{a}', '{b}')" for a, b in markdown.LIGATURES.items()) + ", '“”‘’–−', '\"\"''''--'))"
+_COMPARE = trimmed(rf"regexp_replace(regexp_replace(lower(nfc_normalize(md)), '\\([\\`*_{{}}\[\]()#+\-.!])', '\1', 'g'), '[{_WS}]+', ' ', 'g')")
+HYPHEN = r"regexp_replace(regexp_replace(md, '([\pL\pN_])-\n([\pL\pN_])', '\1\2', 'g'), '([\pL\pN_])- ([\pL\pN_])', '\1\2', 'g')"
 _SLUG = "substr(regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60)"
 
 _PAIRS = [("''", "' '"), ("'see https://x.y'", "'$a$'"), ("'$a$'", "'b'"), ("chr(92) || 'alpha'", "'a'"), ("'# Head'", "'Head'"), ("'**b**'", "'b'"), ("'![x](a.png)'", "''"), ("'| a |'", "'a'"), ("'---'", "'x'"), ("'a.svg'", "'plain'"), ("'plain'", "'other'")]
@@ -70,7 +70,7 @@ def corpus_rollup(spark, d):
     m = markdown.metrics(F.col("md"))
     signal = labels.pass2(F.col("hits"), F.col("chars"), F.col("n_chars") % 9)
     counts = [m[c].alias(c) for c in ("tokens", "words", "math_inline", "tables_rough")]
-    rows = md_docs(spark, d).select("source", "n_chars", *counts, markdown.matches(F.col("md"), markdown.PASS2_MATH).alias("hits"), F.length("md").alias("chars")).withColumn("w", signal["warranted"])
+    rows = md_docs(spark, d).select("source", "n_chars", *counts, markdown.math_hits(F.col("md")).alias("hits"), F.length("md").alias("chars")).withColumn("w", signal["warranted"])
     return rows.groupBy("source").agg(F.count("*").alias("documents"), *[F.sum(c).alias(c) for c in ("tokens", "words", "math_inline", "tables_rough")], F.count_if("w").alias("second_pass"))
 
 
@@ -79,7 +79,7 @@ _HITS = r"[=∑∫√≤≥≠αβγδλμνπσφψωΣΦΨΩ∇∂±×·→]|\
 
 def pass2_signal(spark, d):
     signal = labels.pass2(F.col("hits"), F.col("chars"), F.col("doc_id") % 9)
-    counted = md_docs(spark, d).select("doc_id", markdown.matches(F.col("md"), markdown.PASS2_MATH).alias("hits"), F.length("md").alias("chars"))
+    counted = md_docs(spark, d).select("doc_id", markdown.math_hits(F.col("md")).alias("hits"), F.length("md").alias("chars"))
     return counted.select("doc_id", *[c.alias(n) for n, c in signal.items()])
 
 
@@ -163,7 +163,7 @@ def _digest_sql(x: str) -> str:
     return f"SELECT doc_id, CAST(length(x) AS BIGINT) AS n, md5(x) AS digest FROM (SELECT doc_id, {x} AS x FROM {MD_SQL})"
 
 
-_JOINED = _trim(r"regexp_replace(x, '\s*\n\s*', ' ', 'g')")
+_JOINED = trimmed(r"regexp_replace(x, '\s*\n\s*', ' ', 'g')")
 
 QUERIES = {
     "md_metrics": md_metrics, "folder_totals": folder_totals, "corpus_rollup": corpus_rollup, "pass2_signal": pass2_signal, "latex_top_per_doc": latex_top_per_doc,
@@ -180,7 +180,7 @@ ORACLE_SQL = {
     "pass2_signal": f"SELECT doc_id, m >= 1.0 OR p < 800 AS warranted, round(m, 2) AS math_per_kchar, round(p, 1) AS chars_per_page, concat_ws(';', CASE WHEN m >= 1.0 THEN 'math' END, CASE WHEN p < 800 THEN 'density' END) AS reasons FROM (SELECT doc_id, CAST(1000.0 * {_n(_HITS)} AS DOUBLE) / greatest(length(md), 1) AS m, length(md) / greatest(doc_id % 9, 1) AS p FROM {MD_SQL})",
     "latex_top_per_doc": f"SELECT * FROM {_RANKS}",
     "latex_top_terms": f"SELECT command, CAST(sum(n) AS BIGINT) AS n FROM {_RANKS} GROUP BY command ORDER BY n DESC, command LIMIT 20",
-    "normalize_md": _digest_sql(_norm("md")), "normalize_md_escapes": _digest_sql(_norm("md", True)), "normalize_text": _digest_sql(_COMPARE), "fold_characters": _digest_sql(_FOLD), "dehyphenate": _digest_sql(_HYPHEN),
+    "normalize_md": _digest_sql(_norm("md")), "normalize_md_escapes": _digest_sql(_norm("md", True)), "normalize_text": _digest_sql(_COMPARE), "fold_characters": _digest_sql(FOLD), "dehyphenate": _digest_sql(HYPHEN),
     "tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, chr(10))) AS digest FROM (SELECT doc_id, regexp_extract_all({_norm('md')}, '{_TOK}') AS t FROM {MD_SQL})",
     "categorize_divergence": rf"SELECT doc_id, CASE WHEN trim(s) = '' THEN 'whitespace' WHEN regexp_matches(s, 'https?://|ftp://') THEN 'other' WHEN contains(s, '$') OR regexp_matches(s, '\\[a-zA-Z]+') THEN 'math' WHEN regexp_matches(s, '(?:^|\n)#+ ') THEN 'heading' WHEN contains(s, '**') OR contains(s, '_') THEN 'emphasis' WHEN contains(s, '![') OR contains(s, '.jpeg') OR contains(s, '.png') OR contains(s, '.svg') THEN 'image_ref' WHEN contains(s, '|') THEN 'table' WHEN contains(s, '---') THEN 'separator' ELSE 'other' END AS category FROM (SELECT doc_id, {_A} || ' ' || {_B} AS s FROM documents)",
     "classify_kind": "SELECT page_id, CASE WHEN list_contains(p, 'livros') THEN 'livro' WHEN list_contains(p, 'papers') THEN 'paper' WHEN list_contains(p, 'material_aulas') THEN 'material' ELSE 'outro' END AS kind FROM (SELECT page_id, string_split(lower(CASE page_id % 4 WHEN 0 THEN 'x/Livros/' WHEN 1 THEN 'papers/' WHEN 2 THEN 'a/material_aulas/b/' ELSE 'papers_old/' END || url), '/') AS p FROM pages)",
