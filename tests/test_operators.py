@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import markdown
-from vellum.operators import align, compare, corpus, images, layout, provenance, registry, routing, tables
+from vellum.operators import align, chapters, compare, corpus, images, layout, provenance, registry, routing, tables
 from vellum.plans import report, structure_queries
 from vellum.sources import files, runners, sinks, synthetic
 from vellum.streaming import samples
@@ -26,17 +26,36 @@ def one(spark, column, values, name="t"):
     return [r.out for r in sorted(got, key=lambda r: r.i)]
 
 
-PY = {
-    "lines": lambda t: len(t.splitlines()), "tokens": lambda t: len(t.split()), "words": lambda t: len(re.findall(r"\b\w+\b", t)),
-    "sentences_estimated": lambda t: len(re.findall(r"[.!?]\s+[A-ZÁÉÍÓÚÂÊÔÃÕÇ]", t)), "h1": lambda t: len(re.findall(r"^# [^#]", t, re.M)), "h4_plus": lambda t: len(re.findall(r"^####+ ", t, re.M)),
-    "math_display": lambda t: t.count("$$") // 2, "math_inline": lambda t: len(re.findall(r"(?<!\\)\$[^$\n]+?\$", t)), "tables_rough": lambda t: len(re.findall(r"^\|.*\|$", t, re.M)) // 2,
-    "code_blocks": lambda t: t.count("```") // 2, "images_referenced": lambda t: len(re.findall(r"!\[[^\]]*\]\([^)]+\)", t)), "size_bytes": lambda t: len(t.encode()),
-}
+#: What each edge text counts, by hand: lines, tokens, words, sentences, h1, h4 and deeper, display and inline math, tables, code blocks, images, bytes.
+COUNTED = ("lines", "tokens", "words", "sentences_estimated", "h1", "h4_plus", "math_display", "math_inline", "tables_rough", "code_blocks", "images_referenced", "size_bytes")
+COUNTS = [
+    (0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+    (1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1),
+    (2, 2, 2, 0, 0, 0, 0, 0, 0, 0, 0, 4),
+    (4, 4, 4, 0, 0, 0, 0, 0, 0, 0, 0, 9),
+    (1, 2, 2, 0, 0, 0, 0, 0, 0, 0, 0, 4),
+    (2, 3, 1, 0, 2, 0, 0, 0, 0, 0, 0, 6),
+    (1, 3, 3, 0, 0, 0, 0, 1, 0, 0, 0, 11),
+    (1, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 9),
+    (1, 2, 2, 0, 0, 0, 1, 2, 0, 0, 0, 9),
+    (3, 3, 3, 0, 0, 0, 0, 0, 1, 0, 0, 11),
+    (1, 1, 1, 0, 0, 0, 0, 0, 0, 1, 0, 7),
+    (1, 2, 5, 0, 0, 0, 0, 0, 0, 0, 2, 20),
+    (1, 4, 4, 2, 0, 0, 0, 0, 0, 0, 0, 12),
+    (1, 4, 2, 0, 0, 0, 0, 0, 0, 0, 0, 20),
+    (2, 4, 2, 0, 0, 1, 0, 0, 0, 0, 0, 12),
+    (5, 6, 5, 0, 0, 0, 0, 0, 0, 0, 0, 28),
+]
 
 
-@pytest.mark.parametrize("name", sorted(PY))
-def test_metrics_equal_python(spark, name):
-    assert one(spark, markdown.metrics(F.col("t"))[name], EDGES) == [PY[name](t) for t in EDGES]
+def test_metrics_of_the_edges(spark):
+    rows = spark.createDataFrame(list(enumerate(EDGES)), "i int, t string").select("i", *[markdown.metrics(F.col("t"))[n].alias(n) for n in COUNTED]).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in rows] == COUNTS
+
+
+def test_math_hits(spark):
+    texts = ["", "a = b", "1/2 and 3/4/5 x1/2 1/2y", r"\\alpha_{1} \beta", "^^ ≤α", "٣/٤"]
+    assert one(spark, markdown.math_hits(F.col("t")), texts) == [0, 1, 2, 3, 4, 1]
 
 
 def test_normal_forms(spark):
@@ -100,30 +119,183 @@ def test_table_scores(spark):
     pipe = tables.best_pipe_table(spans)
     assert pipe.split("\n") == ["| x | 1 |", "|---|---|", "| x | 2 |"]
     assert 0.5 < tables.teds(tables.first_pipe_table(pipe), spans) < 1
+    wide = tables.first_table('<table><tr><td colspan="2">a</td><td rowspan="3">b</td></tr><tr><td rowspan="2">c</td><td>d</td></tr><tr><td>e</td></tr><tr><td>f</td></tr></table>')
+    assert tables.best_pipe_table(wide).split("\n") == ["| a | a | b |", "|---|---|---|", "| c | d | b |", "| c | e | b |", "| f |  |  |"]
+    html = spark.createDataFrame([('<p>x</p><TABLE><tr><td colspan="2">a</td></tr></TABLE>',), ("none",)], "h string")
+    assert [r.o for r in html.select(tables.best_pipe_html(F.col("h")).alias("o")).collect()] == ["| a | a |\n|---|---|", None]
     assert tables.first_table("<p>none</p>") is None and tables.best_pipe_table([]) == ""
 
 
 def box(a, b, c, d):
-    return {"x0": a, "y0": b, "x1": c, "y1": d}
-
-
-def test_merge_and_band():
-    r = lambda *b, label=None: {"bbox": list(b), "label": label, "block_indices": [int(b[0])], "cmex": b[0] > 5, "density": b[0], "n_lines": 2}
-    merged = layout.merge_boxes([r(0, 0, 2, 2), r(10, 0, 12, 2, label="7"), r(1, 1, 9.5, 2)])
-    assert len(merged) == 1 and merged[0]["bbox"] == [0, 0, 12, 2] and merged[0]["label"] == "7" and merged[0]["merged_from"] == 3
-    assert len(layout.merge_boxes([r(0, 0, 1, 1), r(5, 5, 6, 6)])) == 2 and layout.merge_boxes([]) == []
-    grown = layout.grow_in_band({"bbox": [0, 0, 10, 10], "block_indices": [0]}, [(1, [20, 4, 30, 6], False), (2, [40, 4, 50, 6], True), (3, [0, 5, 5, 400], False)])
-    assert grown["bbox"] == [0, 0, 30, 10] and grown["block_indices"] == [0, 1]
-
-
-def test_formula_detection():
-    span = lambda t, f, b: {"text": t, "size": 10.0, "font": f, "bbox": b}
-    block = lambda t, f, b, *more: {"type": 0, "bbox": b, "lines": [{"spans": [span(t, f, b), *more]}]}
-    prose = block("this is a long line of prose that sets the margin of it all", "Times", box(50, 10, 400, 20))
-    eq = block("x = y + z", "CMMI10", box(150, 50, 250, 60), span("(1.2)", "Times", box(390, 50, 410, 60)))
-    found = layout.detect_formulas([prose, eq])
-    assert len(found) == 1 and found[0]["label"] == "1.2" and found[0]["bbox"]["x1"] <= 388 and not found[0]["is_complex"]
-    assert layout.detect_formulas([]) == [] and layout.detect_formulas([prose]) == []
+    return (float(a), float(b), float(c), float(d))
+
+
+def touching(p, q, eps=1.0):
+    return p[0] <= q[2] + eps and q[0] <= p[2] + eps and p[1] <= q[3] + eps and q[1] <= p[3] + eps
+
+
+def test_regions_that_touch_are_one(spark):
+    rng = random.Random(2)
+    schema = f"page long, ord long, bbox {layout.BBOX}, label string, cmex boolean, density double, n_lines int, block_indices array<int>"
+    rows = [(-1, 0, box(0, 0, 2, 2), None, False, 0.0, 2, [0]), (-1, 1, box(10, 0, 12, 2), "7", True, 10.0, 2, [10]), (-1, 2, box(1, 1, 9.5, 2), "8", False, 1.0, 2, [1])]
+    for page in range(40):
+        for k in range(rng.randint(1, 7)):
+            x, y = rng.randint(0, 20), rng.randint(0, 20)
+            rows.append((page, k, box(x, y, x + rng.randint(0, 6), y + rng.randint(0, 6)), rng.choice([None, "", f"l{k}"]), rng.random() < 0.3, rng.random(), rng.randint(1, 4), [k, k + 1]))
+    got = {}
+    for r in layout.merge_regions(spark.createDataFrame(rows, schema), ["page"]).collect():
+        got.setdefault(r.page, []).append((r.region, tuple(r.bbox), r.label, r.block_indices, r.cmex, r.density, r.n_lines, r.merged_from, r.is_complex))
+    assert got.pop(-1) == [(0, box(0, 0, 12, 2), "7", [0, 1, 10], True, 10.0, 6, 3, True)]
+    for page, found in got.items():
+        own = [r for r in rows if r[0] == page]
+        seen = {}  # reachability by repeated relabelling
+        for k in range(len(own)):
+            seen[k] = k
+        for _ in own:
+            for i in seen:
+                for j in seen:
+                    if touching(own[i][2], own[j][2]):
+                        seen[i] = seen[j] = min(seen[i], seen[j])
+        want = []
+        for root in sorted(set(seen.values())):
+            c = [own[k] for k in sorted(seen) if seen[k] == root]
+            hull = (min(r[2][0] for r in c), min(r[2][1] for r in c), max(r[2][2] for r in c), max(r[2][3] for r in c))
+            label = next((r[3] for r in c if r[3]), None)
+            big, n = any(r[4] for r in c), sum(r[6] for r in c)
+            want.append((len(want), hull, label, sorted({i for r in c for i in r[7]}), big, max(r[5] for r in c), n, len(c), len(c) > 1 or (big and n >= 5)))
+        assert sorted(found) == want
+
+
+def text_block(text, font, b, *more, type_=0):
+    return (type_, b, [([(text, 10.0, font, b), *more],)])
+
+
+PROSE = text_block("this is a long line of prose that sets the margin of it all", "Times", box(50, 10, 400, 20))
+
+
+def regions_of(spark, *pages):
+    rows = spark.createDataFrame([(i, list(p)) for i, p in enumerate(pages)], f"page long, blocks array<{layout.BLOCK}>")
+    out = {}
+    for r in layout.formula_regions(rows, ["page"]).orderBy("page", "region").collect():
+        out.setdefault(r.page, []).append(r)
+    return out
+
+
+def test_formula_detection(spark):
+    number = ("(1.2)", 10.0, "Times", box(390, 50, 410, 60))
+    labelled = text_block("x = y + z", "CMMI10", box(150, 50, 250, 60), number)
+    thin = text_block("x = y + z", "CMMI10", box(150, 50, 170, 60))
+    short = text_block("x=y", "CMMI10", box(150, 50, 250, 60))
+    at_margin = text_block("x = y + z", "CMMI10", box(60, 50, 250, 60))
+    image = text_block("x = y + z", "CMMI10", box(150, 50, 250, 60), type_=1)
+    plain = text_block("words alone here", "Times", box(150, 50, 250, 60))
+    mixed = text_block("some text", "Times", box(150, 50, 200, 60), ("x", 10.0, "CMMI10", box(200, 50, 250, 60)))
+    empty = (0, box(0, 0, 1, 1), [])
+    found = regions_of(spark, [PROSE, labelled], [], [PROSE], [PROSE, thin], [PROSE, short], [PROSE, at_margin], [PROSE, image], [PROSE, plain], [PROSE, mixed], [empty, PROSE, labelled])
+    assert set(found) == {0, 9}
+    r = found[0][0]
+    assert len(found[0]) == 1 and tuple(r.bbox) == box(146, 46, 254, 64) and r.label == "1.2" and r.block_indices == [1] and not r.is_complex and r.density == 1.0 and r.n_lines == 1
+    assert found[9][0].block_indices == [2]
+
+
+def test_bands_grow_until_nothing_stands_in_them(spark):
+    eq = text_block("x = y + z", "CMMI10", box(150, 100, 250, 110))
+    beside = text_block("where", "Times", box(300, 104, 330, 116))  # in the band, makes it higher
+    then = text_block("so", "Times", box(340, 112, 360, 120))  # in the higher band only
+    far = text_block("far", "Times", box(340, 300, 360, 310))
+    tall = text_block("tall", "Times", box(400, 101, 410, 400))  # would add more than allowed
+    prose_beside = text_block("this too is a long line of prose, which no formula takes in", "Times", box(260, 100, 290, 110))
+    number = text_block("(3)", "Times", box(420, 102, 440, 108))
+    found = regions_of(spark, [PROSE, eq, beside, then, far, tall, prose_beside], [PROSE, then, beside, eq], [PROSE, eq, number], [PROSE, eq, text_block("w + v = u", "CMEX10", box(150, 108, 240, 130))])
+    assert [(tuple(r.bbox), r.block_indices) for r in found[0]] == [(box(146, 96, 364, 124), [1, 2, 3])]
+    assert [(tuple(r.bbox), r.block_indices) for r in found[1]] == [(box(146, 96, 364, 124), [1, 2, 3])]
+    assert [(tuple(r.bbox), r.label, r.block_indices) for r in found[2]] == [(box(146, 96, 418, 114), "3", [1, 2])]
+    assert [(r.merged_from, r.cmex, r.is_complex, r.n_lines) for r in found[3]] == [(2, True, True, 2)]
+
+
+def test_region_text(spark):
+    page = spark.createDataFrame([([PROSE, text_block("ﬁne bro-", "Times", box(0, 0, 1, 1)), text_block(" ", "Times", box(0, 0, 1, 1))],)], f"blocks array<{layout.BLOCK}>")
+    got = page.select(layout.region_text(F.col("blocks"), F.array(F.lit(1), F.lit(2), F.lit(9), F.lit(0))).alias("t")).first().t
+    assert got == "fine bro- " + PROSE[2][0][0][0][0]
+
+
+def test_chapters_without_number_and_beyond_99(spark):
+    toc = [(1, 0, 2, "7 Seven", 1), (1, 1, 2, "100 Hundred More", 5), (1, 2, 1, "Appendix B", 9), (1, 3, 1, "Index", 12)]
+    found = {r.id: r for r in chapters.chapter_bounds(spark.createDataFrame(toc, "book_id long, ord long, level int, title string, page long"), spark.createDataFrame([(1, 20)], "book_id long, n_pages long")).collect()}
+    assert {k: (r.start, r.end, r.header_re) for k, r in found.items()} == {
+        "07_seven": (1, 4, r"^#+\s+7\s+\S"), "100_hundred_more": (5, 8, r"^#+\s+100\s+\S"), "app_appendix_b": (9, 11, r"^#+\s+Appendix\s+?\b"), "app_index": (12, 20, r"^#+\s+Index\s*$"),
+    }
+    rows = spark.createDataFrame([tuple(r) for r in found.values()], "book_id long, ord string, id string, title string, start long, `end` long, header_re string")
+    text = "intro\n# 7 Seven\na\n## 100 Hundred\nb\n# Appendix B\nc\n# Index\nd\n"
+    cut = {r.id: (r.start_line, r.chunk) for r in chapters.split_by_headers(spark.createDataFrame([(1, text)], "book_id long, text string"), rows).collect()}
+    # the heading of an appendix without a number needs blanks before a word, as the one blank of "# Appendix B" gives
+    assert cut == {"07_seven": (1, "# 7 Seven\na\n"), "100_hundred_more": (3, "## 100 Hundred\nb\n"), "app_appendix_b": (5, "# Appendix B\nc\n"), "app_index": (7, "# Index\nd\n")}
+
+
+def test_comparison_equals_the_library(spark):
+    rng = random.Random(6)
+    vocabulary = ["the", "cat", r"a\_b", "$x$", "**b**", "end.", "| c |"]
+    rows = []
+    for i in range(40):
+        a = [rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 5, 60, 260]))]
+        b = [w for w in a if rng.random() < 0.9] + [rng.choice(vocabulary)] * (i % 2)
+        rows.append((i, " ".join(a), " ".join(b)))
+    rows += [(40, None, "x"), (41, "same text", "same text")]
+    pairs = spark.createDataFrame(rows, "doc_id long, a string, b string")
+    plain = lambda t: re.sub(r"\\([\\`*_{}\[\]()#+\-.!])", r"\1", t)
+    got = {r.doc_id: r for r in compare.round_trip(pairs, ["doc_id"]).collect()}
+    codes, firsts = {}, {}
+    for r in compare.differences(pairs, ["doc_id"]).collect():
+        codes.setdefault(r.doc_id, []).append((r.pos, r.tag, r.from_tokens, r.to_tokens))
+    for r in compare.first_differences(compare.differences(pairs, ["doc_id"]), ["doc_id"]).collect():
+        firsts.setdefault(r.doc_id, []).append((r.rank, r.tag, r.from_text, r.to_text))
+    for i, a, b in rows:
+        if a is None:
+            assert got[i].similarity is None and i not in codes
+            continue
+        x, y = a.split(), b.split()
+        assert got[i].similarity == difflib.SequenceMatcher(None, x, y).ratio() and got[i].similarity_no_escapes == difflib.SequenceMatcher(None, plain(a).split(), plain(b).split()).ratio()
+        assert (got[i].md1_tokens, got[i].md2_tokens) == (len(x), len(y))
+        want = [(t, x[p:q], y[r:s]) for t, p, q, r, s in difflib.SequenceMatcher(None, x, y).get_opcodes() if t != "equal"]
+        assert [c[1:] for c in sorted(codes.get(i, []))] == want
+        assert [f[1:] for f in sorted(firsts.get(i, []))] == [(t, " ".join(u[:8]), " ".join(v[:8])) for t, u, v in want[:5]]
+    counts = {}
+    for r in compare.divergence_counts(compare.differences(pairs, ["doc_id"]), ["doc_id"]).collect():
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + r.n
+    assert counts == {i: sum(max(len(c[2]), len(c[3])) for c in cs) for i, cs in codes.items()}
+
+
+def test_iterations_equal_the_library(spark):
+    texts = [(1, t, f"one two three {'x ' * t} end") for t in range(5)] + [(2, 0, "alone")]
+    got = {(r.conv_id, r.i): r for r in compare.iterations(spark.createDataFrame(texts, "conv_id long, turn long, text string"), "conv_id", "turn").collect()}
+    own = [t[2].split() for t in texts[:5]]
+    sim = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    assert {k: (r.tokens, r.sim_to_first, r.sim_to_prev) for k, r in got.items()} == {(1, i): (len(own[i]), sim(own[0], own[i]), sim(own[i - 1], own[i]) if i > 1 else None) for i in range(1, 5)}
+
+
+def test_page_costs_equal_the_library(spark):
+    rng = random.Random(8)
+    rows = [(d, s, p % 4, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 30)))) for d in range(4) for s in "ab" for p in range(rng.randint(1, 6))]
+    got = align.page_costs(spark.createDataFrame(rows, "doc long, side string, page long, text string"), "doc").collect()
+    for d in range(4):
+        a, b = (sorted((p, t) for x, s, p, t in rows if x == d and s == side) for side in "ab")
+        mine = {(r.i, r.j): (r.orig_page, r.render_page, r.wer) for r in got if r.doc == d}
+        want = {}
+        for (i, (p, t)), (j, (q, u)) in itertools.product(enumerate(a), enumerate(b)):
+            x, y = t.split(), u.split()
+            want[i, j] = (p, q, 0.0 if not x and not y else 1.0 if not x or not y else 1 - difflib.SequenceMatcher(None, x, y).ratio())
+        assert mine == want
+
+
+def test_registry_lookup_and_book_header(spark):
+    entries = spark.createDataFrame([("a", "x1"), ("b", None), ("c", "gone")], "doc_id string, inrepo_excerpt string")
+    assert registry.lookup(entries, "a").inrepo_excerpt == "x1"
+    with pytest.raises(KeyError, match="a, b, c"):
+        registry.lookup(entries, "zz")
+    got = {r.doc_id: r.has_excerpt for r in registry.has_excerpt(entries, spark.createDataFrame([("x1",), ("x1",)], "path string")).collect()}
+    assert got == {"a": True, "b": False, "c": False}
+    heads = spark.createDataFrame([(" T ", " An Author ", "x/y.pdf"), (None, None, "p/my_first_book.pdf"), ("", "", "_.pdf")], "t string, a string, p string")
+    assert [tuple(r) for r in heads.select(*chapters.book_header(F.col("t"), F.col("a"), F.col("p"))).collect()] == [("T", "**An Author**"), ("my first book", ""), ("_", "")]
 
 
 def test_pages_to_markdown(spark):
