@@ -458,7 +458,7 @@ def brute_shares(texts, support=3):
         keys = []
         for a, kind, b in spans:
             v = text[a:b].lower() if kind == 0 else text[a:b] if kind == 1 else re.sub(r"\D", "", text[a:b])
-            pool = v[v.rindex("@") :] if kind == 0 else ".".join(v.split(".")[:2]) + "." if kind == 1 else v[: 6 if kind == 2 else 4] + "*"
+            pool = v[v.rindex("@") :] if kind == 0 else v[: v.index(".") + 1] if kind == 1 else v[:2] + "*"
             keys.append([f"{pii.KINDS[kind]}:{x}" for x in (v, pool)])
         for (a, _, b), own in zip(reversed(spans), reversed(keys), strict=True):
             for e in own:
@@ -798,8 +798,22 @@ def test_pipeline_links_five_word_shingles(spark):
 
 def test_pairs_of_a_key_meet_across_classes():
     nodes, sizes, roots = np.arange(6), np.array([10, 10, 10, 10, 10, 30]), np.array([0, 0, 2, 2, 4, 4])
-    cross = {(int(a), int(b)) for u, v in shingles.key_pairs(nodes, sizes, roots) for a, b in zip(u, v, strict=True)}
+    sketches = np.zeros((6, 5), np.uint64)
+    cross = {(int(a), int(b)) for u, v in shingles.key_pairs(nodes, sizes, roots, sketches) for a, b in zip(u, v, strict=True)}
     assert cross == {(a, b) for a in range(5) for b in range(a + 1, 5) if roots[a] != roots[b]}
+    sketches[4] = np.uint64(2**64 - 1)  # too far from all
+    cross = {(int(a), int(b)) for u, v in shingles.key_pairs(nodes, sizes, roots, sketches) for a, b in zip(u, v, strict=True)}
+    assert cross == {(0, 2), (0, 3), (1, 2), (1, 3)}
+
+
+def test_sketches_tell_similarity():
+    rng = np.random.default_rng(2)
+    for same, near in ((0.8, True), (0.4, False)):
+        both = rng.integers(0, 1 << 62, 1000).astype(np.uint64)
+        rest = int(1000 * (1 / same - 1) / 2)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 62, rest).astype(np.uint64)])) for _ in range(2))
+        _, s = shingles.band_keys([a, b])
+        assert (int(np.bitwise_count(s[0] ^ s[1]).sum()) <= shingles.SKETCH_BITS) == near
 
 
 def test_components(spark):

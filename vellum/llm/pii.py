@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms that give it away.
 
 Emails, IP addresses, card and phone numbers are found by pattern in whole texts. Each value is a protected entity, and so is the class that it
-belongs to, which pools values that are seen once: an email's domain, the first two parts of an address, the first six digits of a card,
-the first four of a phone number. How much a term t tells of an entity e is estimated from the corpus: with N distinct
+belongs to, which pools values that are seen once: an email's domain, the first part of an address, the first two digits of a card or
+a phone number. How much a term t tells of an entity e is estimated from the corpus: with N distinct
 texts, c(e) and c(t) of which hold either and c(e, t) of which hold both, e has the information IC(e) = -log2 p(e), p(e) = c(e) / N, and t reveals the share
 
     log2(p(e | t) / p(e)) / IC(e),    p(e | t) = (c(e, t) + PRIOR p(e)) / (c(t) + PRIOR)
@@ -15,7 +15,7 @@ All four counts have one unit, the distinct text, so copies of documents change
 any distance, and all within ``CONTEXT_CHARS`` of it, which is linear in the text; if one of them is revealed, every mention of the term in the
 text is hidden.
 
-Only slots of hash tables of fixed size come to the driver, to pick the entities, terms and pairs that are counted or spelled out; a slot
+Only slots of hash tables of fixed size come to the driver, to pick the entities and pairs that are counted or spelled out; a slot
 shared by chance costs a few rows more and changes no result.
 
 Defined results: a null text is empty and has no spans; repeated rows get the same spans each; a null id is kept; very long texts, runs of digits
@@ -45,6 +45,7 @@ SUPPORT = 3
 PRIOR = 8.0
 GENERALISE, REMOVE = 0.6, 0.85
 SLOTS = 1 << 20
+ANY = ""
 
 #: The parts of the patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -113,10 +114,10 @@ def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str,
             pooled = value[value.rindex("@") :]
         elif k == 1:
             value = text[a:b]
-            pooled = ".".join(value.split(".")[:2]) + "."
+            pooled = value[: value.index(".") + 1]
         else:
             value = re.sub(r"[^0-9]", "", text[a:b])
-            pooled = value[: 6 if k == 2 else 4] + "*"
+            pooled = value[:2] + "*"
         out.append((f"{kind}:{value}", f"{kind}:{pooled}"))
     return out
 
@@ -202,24 +203,19 @@ def _counted(tally: Counter, names: list[str], kinds: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
 
-def document_frequencies(rows: DataFrame, slots) -> DataFrame:
-    """(term, df): how many distinct texts of ``rows`` (text, copies) hold a term of one of the ``slots``."""
+def document_frequencies(rows: DataFrame) -> DataFrame:
+    """(term, df): how many distinct texts of ``rows`` (text, copies) hold each term."""
+    names, kinds = ["term", "copies", "n"], [pa.string(), pa.int64(), pa.int64()]
 
     def run(batches):
-        wanted, known = slots.value, {}
-        for batch in batches:
-            seen = Counter()
-            for part in slices([batch]):
-                for text, copies in zip(part.column("text").to_pylist(), part.column("copies").to_pylist(), strict=True):
-                    for t in {t.lower() for t in set(_TERM.findall(text or ""))}:
-                        good = known.get(t)
-                        if good is None:
-                            if len(known) > 200_000:
-                                known.clear()
-                            good = known[t] = t in wanted
-                        if good:
-                            seen[t, copies] += 1
-            yield _counted(seen, ["term", "copies", "n"], [pa.string(), pa.int64(), pa.int64()])
+        seen = Counter()
+        for part in slices(batches):
+            for text, copies in zip(part.column("text").to_pylist(), part.column("copies").to_pylist(), strict=True):
+                seen.update((t, copies) for t in {t.lower() for t in set(_TERM.findall(text or ""))})
+            if len(seen) > 100_000:
+                yield _counted(seen, names, kinds)
+                seen.clear()
+        yield _counted(seen, names, kinds)
 
     found = rows.select("text", "copies").mapInArrow(run, "term string, copies long, n long")
     return _texts(found, ["term"], "df")
@@ -233,7 +229,10 @@ def _texts(counted: DataFrame, keys: list[str], name: str, *more: Column) -> Dat
 
 
 def entity_pairs(rows: DataFrame, slots) -> DataFrame:
-    """(entity, term, c_et, lo, hi) of entities of one of the ``slots`` in ``rows`` (text, copies); lo and hi are the least and largest hash of the entity's surroundings."""
+    """(entity, term, c_et, lo, hi) of entities of one of the ``slots`` in ``rows`` (text, copies); lo and hi are the least and largest hash of the entity's surroundings.
+
+    The entity ``ANY`` stands for all of them: it counts the texts in which a term meets one.
+    """
 
     def run(batches):
         wanted = slots.value
@@ -249,7 +248,9 @@ def entity_pairs(rows: DataFrame, slots) -> DataFrame:
                     for e in own:
                         if e not in near:
                             near[e] = surroundings(text, span)
-                for e, t in {(e, t) for t, _, _, met in mentions(text, spans) for i in met for e in known[i]}:
+                found = {(e, t) for t, _, _, met in mentions(text, spans) for i in met for e in known[i]}
+                near[ANY] = 0
+                for e, t in found | {(ANY, t) for _, t in found}:
                     have = tally.setdefault((e, t, copies), [0, near[e], near[e]])
                     have[0] += 1
                     have[1], have[2] = min(have[1], near[e]), max(have[2], near[e])
@@ -260,10 +261,10 @@ def entity_pairs(rows: DataFrame, slots) -> DataFrame:
     return _texts(found, ["entity", "term"], "c_et", F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def share_column(n: int) -> Column:
-    """The share of an entity's information that a term reveals, from c_e, c_et and df among ``n`` texts."""
+def share_column(n: int, df: str = "df") -> Column:
+    """The share of an entity's information that a term reveals, from c_e, c_et and ``df`` among ``n`` texts. A smaller ``df`` gives no smaller share."""
     p = F.col("c_e") / F.lit(float(max(n, 2)))
-    told = (F.col("c_et") + PRIOR * p) / (F.greatest("df", "c_et") + PRIOR)
+    told = (F.col("c_et") + PRIOR * p) / (F.greatest(df, "c_et") + PRIOR)
     return F.when(p < 1, F.log2(told / p) / -F.log2(p))
 
 
@@ -275,12 +276,15 @@ def rules(rows: DataFrame, found: DataFrame, n: int, support: int = SUPPORT, gen
     wanted = _slots(single, F.col("entity"))
     if wanted is None:
         return None
-    pairs = entity_pairs(rows, wanted).where((F.col("c_et") >= support) & (F.col("lo") < F.col("hi")))
-    joint = materialise(pairs.join(single, "entity").select("entity", "term", "c_et", "c_e"), "pairs")
-    wanted = _slots(joint, F.col("term"))
-    if wanted is None:
+    pairs = materialise(entity_pairs(rows, wanted).where((F.col("c_et") >= support) & ((F.col("entity") == ANY) | (F.col("lo") < F.col("hi")))), "pairs")
+    least = pairs.where(F.col("entity") == ANY).select("term", F.col("c_et").alias("c_any"))
+    joint = pairs.where(F.col("entity") != ANY).select("entity", "term", "c_et").join(single, "entity").join(least, "term")
+    # a term is in no fewer texts than those in which it meets an entity: most pairs need no further count
+    joint = materialise(joint.where(share_column(n, "c_any") >= generalise).select("entity", "term", "c_et", "c_e"), "candidates")
+    if joint.isEmpty():
         return None
-    counted = joint.join(document_frequencies(rows, wanted), "term").withColumn("share", share_column(n))
+    # of every term, so that this grows with the texts and not with the number of pairs in question
+    counted = joint.join(document_frequencies(rows), "term").withColumn("share", share_column(n))
     return materialise(counted.where(F.col("share") >= generalise).select("entity", "term", "share"), "rules")
 
 
