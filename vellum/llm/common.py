@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -23,6 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _OWN: list[str] = []
 _WRITTEN: list[str] = []
 
@@ -124,13 +126,30 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches, rows: int = 512):
-    """The record batches in pieces of at most ``rows`` rows, so that what Python makes of them stays small. What Arrow has freed is given back after each."""
+#: What operators keep in a worker from task to task, by name.
+KEPT: dict[str, object] = {}
+
+
+def slices(batches, rows: int = 512, keeps: str | None = None):
+    """The record batches in pieces of at most ``rows`` rows, so that what Python makes of them stays small. What was freed is given back after each batch.
+
+    A worker that has gone on to this task from another operator drops what that one kept in it; ``keeps`` is the name of this one's.
+    """
+    for name in [k for k in KEPT if k != keeps]:
+        del KEPT[name]
+    give_back()
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
         del batch
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of Arrow and of the C library to the system: a worker lives on for other tasks, and what it holds counts."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def byte_blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> list[tuple[int, int]]:

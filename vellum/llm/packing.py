@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialise, packed, slices
+from vellum.llm.common import KEPT, materialise, packed, slices
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
 #: Entries of one generation of a worker's word cache; two generations are kept, about 200 bytes an entry.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Pieces of one rank bucket, about.
 BUCKET_ROWS = 8192
 
@@ -137,13 +137,11 @@ class WordCache:
         return out
 
 
-_CACHES: dict[str, WordCache] = {}
-
-
 def word_cache(path: str) -> WordCache:
-    if path not in _CACHES:
-        _CACHES[path] = WordCache(path)
-    return _CACHES[path]
+    name = f"words of {path}"
+    if name not in KEPT:
+        KEPT[name] = WordCache(path)
+    return KEPT[name]
 
 
 def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -159,7 +157,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = word_cache(tokenizer)
         end = np.asarray([SEPARATOR_ID], "<u4").tobytes()
-        for part in slices(batches):
+        for part in slices(batches, keeps=f"words of {tokenizer}"):
             texts = [t or "" for t in part.column("text").to_pylist()]
             out = defaultdict(list)
             for doc_id, raw in zip(part.column("doc_id").to_pylist(), cache.ids(texts) if cache.splits else cache.encode(texts), strict=True):
