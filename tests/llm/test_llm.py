@@ -806,6 +806,39 @@ def test_pairs_of_a_key_meet_across_classes():
     assert cross == {(0, 2), (0, 3), (1, 2), (1, 3)}
 
 
+@pytest.mark.parametrize("most", [1 << 20, 300])
+def test_links_in_keys_join_what_all_pairs_join(spark, most):
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(6):  # groups around a base, some members just under the similarity to most others, all with one passage
+        base = rng.integers(0, 1 << 62, 60)
+        for edits in (0, 3, 6, 7, 9, 12):
+            copy = base.copy()
+            copy[rng.choice(60, edits, replace=False)] = rng.integers(0, 1 << 62, edits)
+            copy[:25] = np.arange(25)
+            sets.append(np.unique(copy).astype(np.uint64))
+    keys, sketches = shingles.band_keys(sets)
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if both >= 0.8 * (len(a) + len(sets[j]) - both) and set(keys[i]) & set(keys[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    signed = lambda x: [int(v) for v in x.view(np.int64)]
+    rows = [(k, i, len(a), i, signed(sketches[i]), signed(keys[i]), signed(a)) for i, a in enumerate(sets) for k in signed(keys[i])]
+    dealt = spark.createDataFrame(rows, "key long, node long, n int, root long, sketch array<long>, keys array<long>, shingles array<long>")
+    met = {(r.key, r.node) for r in shingles.meeting(dealt, 4 if most == 300 else most).collect()}
+    links = shingles.links_in_keys(dealt.join(spark.createDataFrame(sorted(met), "key long, node long"), ["key", "node"]), most).collect()
+    got = list(range(len(sets)))
+    for u, v in links:
+        lo, hi = sorted((got[u], got[v]))
+        got = [lo if r == hi else r for r in got]
+    assert 1 < len(set(root)) < len(sets)
+    assert got == root
+    assert shingles.links_in_keys(dealt.limit(0)).count() == shingles.meeting(dealt.limit(0)).count() == 0
+
+
 def test_sketches_tell_similarity():
     rng = np.random.default_rng(2)
     for same, near in ((0.8, True), (0.4, False)):

@@ -6,11 +6,12 @@ differ in ten bits of 64 on average, which no blocks of 64 bits find, so what fi
 candidate of either kind is checked on its whole shingle sets, so nothing is linked by chance.
 
 Equal sets are one node from the start. Only keys whose nodes are of several classes go on. Each node is compared with the least of the least nodes of its keys
-first, which joins a group of near copies by one pair a node, then with the others of them that are still of another class, and at last all pairs of nodes
-that are still in different classes are compared. Pairs whose set sizes
-alone keep them under the similarity are left out of all, and so are, but of the first, pairs whose sketches, a bit of each minimum, differ in more than
-``SKETCH_BITS`` places: a pair at the similarity differs in 32 of 320, with a standard deviation of 5.4, so it is lost with a probability of 4e-6, while texts that
-share a passage, but not most of their words, are told apart without being written out. No key is dropped or cut.
+first, which joins a group of near copies by one pair a node, then with the others of them that are still of another class. At last all nodes that are still in
+different classes are compared where they meet: the whole sets of a key's nodes go to the key's task, which passes on a spanning forest of the links that it finds, so
+that pairs are never written out, however many share a passage. A key over ``CELL_NODES`` or ``CELL_SHINGLES`` is cut into parts, any two of which meet in a cell.
+Pairs whose set sizes alone keep them under the similarity are left out of all, and so are, but of the first, pairs whose sketches, a bit of each minimum, differ in
+more than ``SKETCH_BITS`` places: a pair at the similarity differs in 32 of 320, with a standard deviation of 5.4, so it is lost with a probability of 4e-6, while texts
+that share a passage, but not most of their words, are told apart by 40 bytes each. No key is dropped or cut short.
 
 Defined results: words and case are those of ``simhash``; a text with fewer words than a shingle is one shingle; null and blank texts
 have the empty set, which equals itself; very long texts are compared whole; repeated rows are of one class; null ids don't matter here; an empty table
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import byte_blocks, dimension_join, in_runs, materialise, mix64, slices, text_buffers, word_hashes
@@ -32,6 +33,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 8
 SKETCH_BITS = 56
+#: Nodes, and shingles of nodes, of a part of a key; a task holds two parts at most.
+CELL_NODES = 16_384
+CELL_SHINGLES = 1 << 20
 #: What products of the similarity and a set's size are off by at most, which are whole numbers where it matters.
 ROUNDING = 1e-6
 
@@ -99,71 +103,155 @@ def mark(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n int, fp long, keys array<long>, sketch array<long>")
 
 
-def key_pairs(nodes: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sketches: np.ndarray, similarity: float = SIMILARITY):
-    """Arrays (u, v) to be checked in one key: the pairs of nodes of different classes whose sizes and sketches (one row each) allow it."""
+def key_pairs(nodes: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sketches: np.ndarray, similarity: float = SIMILARITY, parts: np.ndarray | None = None):
+    """Arrays (u, v) to be checked in one key: the pairs of nodes of different classes, and of different ``parts``, whose sizes and sketches (one row each) allow it."""
     order = np.argsort(roots, kind="stable")
     nodes, sizes, roots, sketches = nodes[order], sizes[order], roots[order], sketches[order]
+    parts = None if parts is None else parts[order]
     after = np.searchsorted(roots, roots, "right")  # where the next class begins
     for i in np.flatnonzero(after < len(nodes)).tolist():
         v, n = nodes[after[i] :], sizes[after[i] :]
         near = np.bitwise_count(sketches[after[i] :] ^ sketches[i]).sum(axis=1) <= SKETCH_BITS
+        if parts is not None:
+            near &= parts[after[i] :] != parts[i]
         v = v[near & (np.minimum(n, sizes[i]) >= similarity * np.maximum(n, sizes[i]) - ROUNDING)]
         yield np.minimum(v, nodes[i]), np.maximum(v, nodes[i])
 
 
-def candidates(dealt: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) of nodes of different classes that meet under a key of ``dealt`` (key, node, n, root, sketch)."""
+def _runs(batches, by: tuple[str, ...], columns: tuple[str, ...]):
+    """(values of ``by``, the run's ``columns`` as arrays) of each run of two rows or more in sorted record batches; a run may span batches."""
+    at, parts = None, []
+
+    def whole():
+        return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        bounds = np.concatenate(([0], edge, [batch.num_rows]))
+        # runs of one row in the middle of a batch pair nothing
+        for r in sorted({0, len(bounds) - 2, *np.flatnonzero(np.diff(bounds) > 1).tolist()}):
+            a, b = int(bounds[r]), int(bounds[r + 1])
+            here = tuple(int(k[a]) for k in keys)
+            if here != at:
+                if sum(len(p[0]) for p in parts) > 1:
+                    yield at, whole()
+                at, parts = here, []
+            parts.append([v[a:b] for v in values])
+    if sum(len(p[0]) for p in parts) > 1:
+        yield at, whole()
+
+
+def _batches(found, names: list[str], most: int = 100_000):
+    """Record batches of long columns ``names`` from tuples of arrays, in pieces of about ``most`` rows."""
+    out, size = [], 0
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(f[i] for f in out)])) for i in range(len(names))], names)
+
+    for f in found:
+        out.append(f)
+        size += len(f[0])
+        if size > most:
+            yield rows()
+            out, size = [], 0
+    yield rows()
+
+
+def cells(dealt: DataFrame, weight: Column, most: int) -> DataFrame:
+    """``dealt`` (key, node, ...) with (lo, hi, part): a key whose ``weight`` sums up to more than ``most`` is cut into parts by the hash of its nodes.
+
+    A cell (key, lo, hi) holds the nodes of two parts, or of one where both are the same, so that any two nodes of a key meet in one cell and no
+    task holds more than two parts. Keys under the bound are one cell.
+    """
+    wide = dealt.groupBy("key").agg(F.sum(weight).alias("w")).where(F.col("w") > most)
+    wide = materialise(wide.select("key", F.ceil(F.col("w") / most).cast("int").alias("parts")), "wide")
+    out = dimension_join(dealt, wide, ["key"], "left", F.col("node")).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    out = out.withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return out.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("parts", "other")
+
+
+def meeting(dealt: DataFrame, most: int = CELL_NODES) -> DataFrame:
+    """Distinct (key, node) of ``dealt`` (key, node, n, root, sketch) where some node of another class under the key may be similar enough."""
 
     def run(batches):
-        def rows(found):
-            u, v = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-        def close(parts):
-            *whole, sketches = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            if len(whole[0]) > 1:
-                yield from key_pairs(*whole, np.stack(sketches).view(np.uint64))
-
-        at, parts, out, size = None, [], [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, *cols = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n", "root", "sketch"))
-            edge = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            bounds = np.concatenate(([0], edge, [len(keys)]))
-            # runs of one row in the middle of a batch pair nothing
-            for r in sorted({0, len(bounds) - 2, *np.flatnonzero(np.diff(bounds) > 1).tolist()}):
-                a, b = int(bounds[r]), int(bounds[r + 1])
-                if keys[a] != at:
-                    for pair in close(parts) if parts else ():
-                        out.append(pair)
-                        size += len(pair[0])
-                        if size > 100_000:
-                            yield rows(out)
-                            out, size = [], 0
-                    at, parts = keys[a], []
-                parts.append([c[a:b] for c in cols])
-        for pair in close(parts) if parts else ():
-            out.append(pair)
-            size += len(pair[0])
-            if size > 100_000:
-                yield rows(out)
-                out, size = [], 0
-        yield rows(out)
-
-    return in_runs(dealt.select("key", "node", "n", "root", "sketch"), ["key"], "node").mapInArrow(run, "u long, v long").distinct()
+        def found():
+            for (key, lo, hi), (part, *columns, sketches) in _runs(batches, ("key", "lo", "hi"), ("part", "node", "n", "root", "sketch")):
+                pairs = key_pairs(*columns, np.stack(sketches).view(np.uint64), parts=part if lo != hi else None)
+                some = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(np.concatenate(p)) for p in pairs)]))
+                yield np.full(len(some), key, np.int64), some
+
+        yield from _batches(found(), ["key", "node"])
+
+    rows = cells(dealt.select("key", "node", "n", "root", "sketch"), F.lit(1), most)
+    return in_runs(rows, ["key", "lo", "hi"], "node").mapInArrow(run, "key long, node long").distinct()
+
+
+def key_links(key: int, nodes, roots, sketches, keys, sets, parts=None, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (u, v) between nodes of different classes in one key: a spanning forest of the pairs whose whole ``sets`` are similar.
+
+    Only pairs whose first common one of ``keys`` (a row each) is ``key`` are compared, so that each pair is compared under one key. With ``parts``,
+    pairs of one part are left to that part's own cell.
+    """
+    roots, sizes, out = roots.copy(), np.asarray([len(s) for s in sets]), []
+    starts = np.cumsum([0, *sizes])
+    _, ids = np.unique(np.concatenate(list(sets)), return_inverse=True)
+    here = np.zeros(len(ids), bool)
+    for i in range(len(nodes) - 1):
+        rest = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
+        if parts is not None:
+            rest = rest[parts[rest] != parts[i]]
+        rest = rest[np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i]) - ROUNDING]
+        rest = rest[np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1) <= SKETCH_BITS]
+        rest = rest[keys[i][(keys[rest] == keys[i]).argmax(axis=1)] == key] if len(rest) else rest
+        if not len(rest):
+            continue
+        mine = ids[starts[i] : starts[i + 1]]
+        here[mine] = True
+        others = here[np.concatenate([ids[starts[j] : starts[j + 1]] for j in rest.tolist()])]
+        here[mine] = False
+        both = np.add.reduceat(others, np.cumsum([0, *sizes[rest[:-1]]]), dtype=np.int64)
+        for j in rest[both >= similarity * (sizes[i] + sizes[rest] - both) - ROUNDING].tolist():
+            if roots[j] != roots[i]:
+                out.append((int(nodes[i]), int(nodes[j])))
+                roots[roots == roots[j]] = roots[i]
+    return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The ``pairs`` (u, v) whose shingle sets are as similar as asked; ``texts`` (node, text) has one text of each node."""
+def links_in_keys(dealt: DataFrame, most: int = CELL_SHINGLES) -> DataFrame:
+    """Links (u, v) with the classes of all similar pairs under the keys of ``dealt`` (key, node, n, root, sketch, keys, shingles); pairs aren't written out."""
+
+    def run(batches):
+        def found():
+            for (key, lo, hi), (part, nodes, roots, sketches, keys, sets) in _runs(batches, ("key", "lo", "hi"), ("part", "node", "root", "sketch", "keys", "shingles")):
+                pairs = key_links(key, nodes, roots, np.stack(sketches).view(np.uint64), np.stack(keys), sets, part if lo != hi else None)
+                yield tuple(np.asarray([p[k] for p in pairs], np.int64) for k in (0, 1))
+
+        yield from _batches(found(), ["u", "v"])
+
+    rows = cells(dealt, F.col("n"), most)
+    return in_runs(rows, ["key", "lo", "hi"], "node").mapInArrow(run, "u long, v long")
+
 
-    def sets(batches):
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(node, shingles) of ``texts`` (node, text)."""
+
+    def run(batches):
         for batch in slices(batches, 128):
             data, offsets = text_buffers(batch.column("text"))
             found = [s.view(np.int64) for lo, hi in byte_blocks(offsets) for s in shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    known = materialise(texts.mapInArrow(sets, "node long, shingles array<long>"), "sets")
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The ``pairs`` (u, v) whose shingle sets are as similar as asked; ``texts`` (node, text) has one text of each node."""
+    known = materialise(shingle_rows(texts), "sets")
     a, b = (known.select(F.col("node").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "a"), ("v", "b")))
     both = F.size(F.array_intersect("a", "b"))
     return pairs.join(a, "u").join(b, "v").where(both >= similarity * (F.size("a") + F.size("b") - both) - ROUNDING).select("u", "v")
@@ -189,13 +277,13 @@ def classes(docs: DataFrame, marked: DataFrame) -> DataFrame:
     once = docs.select("text", F.xxhash64("text").alias("text_hash"))
     known = nodes.select("node", "text_hash")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    def texts_of(asked: DataFrame) -> DataFrame:
         wanted = known.join(asked, "node", "left_semi")
         return dimension_join(once, wanted, ["text_hash"], "inner", F.monotonically_increasing_id()).dropDuplicates(["node"]).select("node", "text")
 
     def settle(pairs: DataFrame, so_far: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        good = materialise(verified(pairs, texts_of(pairs)), "links")
+        asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        good = materialise(verified(pairs, texts_of(asked)), "links")
         good = good if so_far is None else so_far.union(good)
         return good, _roots(good)
 
@@ -225,8 +313,10 @@ def classes(docs: DataFrame, marked: DataFrame) -> DataFrame:
     seen = first.union(second)
     third = materialise(stars(roots).join(seen, ["u", "v"], "left_anti"), "pairs")
     good, roots = settle(third, good)
-    seen = seen.union(third)
-    fourth = materialise(candidates(open_keys(roots)).join(seen, ["u", "v"], "left_anti"), "pairs")
-    good, roots = settle(fourth, good)
+    asked = materialise(meeting(open_keys(roots)), "meeting")
+    sets = materialise(shingle_rows(texts_of(asked.select("node").distinct())), "sets")
+    known_sets = dimension_join(sets.join(nodes.select("node", "n", "sketch", "keys"), "node"), roots, ["node"], "left", F.col("node"))
+    fourth = asked.join(known_sets.withColumn("root", F.coalesce("root", "node")), "node")
+    roots = _roots(good.union(materialise(links_in_keys(fourth), "links")))
     out = marked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "node")
     return dimension_join(out, roots, ["node"], "left", F.col("_id")).select("_id", "_hash", F.coalesce("root", "node").alias("class"))
