@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, components, decontamination, packing, pii, quality, queries, sharding, shingles, simhash, substrings, topk, toxicity
+from vellum.llm import chat, common, components, decontamination, packing, pii, quality, queries, sharding, shingles, simhash, substrings, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -764,6 +764,41 @@ def test_keep_one(spark):
     assert "toxic_score" in kept.columns
 
 
+def salted_broadcasts(df):
+    """The salted sides that stand under a broadcast in the plan."""
+    below, found = None, []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        below = None if below is not None and at <= below else below
+        if below is None and "BroadcastExchange" in line:
+            below = at
+        elif below is not None and "Generate explode" in line and "salt#" in line:
+            found.append(line)
+    return found
+
+
+@pytest.fixture
+def salted(monkeypatch):
+    """What ``salted_broadcasts`` finds in the plans of the tables that are written, where nothing is small enough for ``dimension_join`` to broadcast."""
+    found, write = [], common.materialise
+
+    def spy(df, what):
+        found.extend((what, line) for line in salted_broadcasts(df))
+        return write(df, what)
+
+    for module in (components, shingles, simhash):
+        monkeypatch.setattr(module, "materialise", spy)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    return found
+
+
+def test_simhash_does_not_broadcast_repeated_rows(spark, salted):
+    texts = ["some words of a text", "Some words of a text", None, "", "another thing here", "alone here now"]
+    out = simhash.near_duplicates(docs_of(spark, texts))
+    assert salted + salted_broadcasts(out) == []
+    assert {r.doc_id: r.component_id for r in out.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+
+
 def five_word_sets(text):
     w = (text or "").lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()

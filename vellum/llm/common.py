@@ -98,8 +98,16 @@ def dimension_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
         size = right.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
     if size <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, how)
-    dealt = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    return left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS).cast("long"))).join(dealt, [*keys, "__salt"], how).drop("__salt")
+    return left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS).cast("long"))).join(repeated(right, "__salt"), [*keys, "__salt"], how).drop("__salt")
+
+
+def repeated(right: DataFrame, salt: str, salts: int = SALTS) -> DataFrame:
+    """``right`` once for each value of a new column ``salt``, as the side of a shuffled join.
+
+    Spark takes the repeated rows for no more than the rows themselves, so by its own bound it would broadcast ``salts`` times what it allows;
+    the driver holds all that is broadcast, and the hint keeps it out of there.
+    """
+    return right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>"))).hint("merge")
 
 
 def in_runs(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
