@@ -831,6 +831,16 @@ def test_pipeline_links_five_word_shingles(spark):
     assert {r.doc_id for r in kept.collect()} == set(root)
 
 
+def test_near_dedup_does_not_broadcast_repeated_rows(spark, salted):
+    import corpus_pipeline as cp
+
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(words).upper(), "alone here now", None, "", "alone here now"]
+    kept = cp.drop_near_copies(spark, docs_of(spark, texts), SF)
+    assert salted + salted_broadcasts(kept) == []
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4]
+
+
 def test_pairs_of_a_key_meet_across_classes():
     nodes, sizes, roots = np.arange(6), np.array([10, 10, 10, 10, 10, 30]), np.array([0, 0, 2, 2, 4, 4])
     sketches = np.zeros((6, 5), np.uint64)

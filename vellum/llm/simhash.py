@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import dimension_join, in_runs, materialise, slices, text_buffers
+from vellum.llm.common import dimension_join, in_runs, materialise, repeated, slices, text_buffers
 from vellum.llm.components import connected_components
 
 SEED = 42
@@ -233,8 +233,7 @@ def keep_first(docs: DataFrame, told: DataFrame) -> DataFrame:
     # a class may hold a third of all rows: its rows are salted, its first one is found by salt before by class
     told = materialise(told.withColumn("salt", F.pmod(F.xxhash64("_id", "_hash"), F.lit(SALTS))), "classes")
     first = told.groupBy("class", "salt").agg(F.min(order).alias("f")).groupBy("class").agg(F.min("f").alias("f"))
-    spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    gone = materialise(told.join(spread, ["class", "salt"]).where(order != F.col("f")).select("_id", "_hash").distinct(), "gone")
+    gone = materialise(told.join(repeated(first, "salt", SALTS), ["class", "salt"]).where(order != F.col("f")).select("_id", "_hash").distinct(), "gone")
     out = docs.withColumns({"__key_id": key[0], "__key_hash": key[1]})
 
     def by_key(side: DataFrame, how: str, left: DataFrame) -> DataFrame:
